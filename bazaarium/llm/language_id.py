@@ -133,3 +133,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return id_and_text(docs).mapInArrow(label, "doc_id long, lang_pred string, score double")
+
+
+def kept(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language of probability ``least`` or more."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for batch in batches:
+            for part in slices(batch, limit=SLICE_BYTES):
+                langs, scores = predicted(model, [t or "" for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -119,11 +119,11 @@ def pieces(axis: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return cut.select("row", "doc_id", "source", "block_no", F.greatest(F.col("start") - at, F.lit(0)).alias("lo"), F.least(F.col("start") + F.col("size") - at, F.lit(block)).alias("hi"))
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, shuffled), written once; ``row`` tells rows with equal ids apart."""
+def sized_documents(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, shuffled), written once; ``row``, a column's name or the place, tells equal ids apart."""
     doc_id = docs["doc_id"].cast("long")
     digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), docs["source"], n_words(docs["text"]).alias("size"), digest.alias("shuffled")), "sized")
+    return written(docs.select((docs[row] if row else F.monotonically_increasing_id()).alias("row"), doc_id.alias("doc_id"), docs["source"], n_words(docs["text"]).alias("size"), digest.alias("shuffled")), "sized")
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -137,14 +137,14 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return slots.join(parts, on).select("slot", "source", "rank", "doc_id", "row", "lo", F.least("hi", "words").alias("hi"))
 
 
-def mixture(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+def mixture(docs: DataFrame, block: int = BLOCK_WORDS, row: str | None = None) -> DataFrame:
     """(row, doc_id, size, source_size, target, taken) for every row of ``docs``.
 
     A null text has size 0 and is taken 0 times; a null source is a source of its own, the last.  Rows with equal ids are
     told apart by their place.  An empty table gives an empty result.  ``taken`` is at most CAP times the size, and each
     source's sum is its target in whole words.
     """
-    sized = sized_documents(docs)
+    sized = sized_documents(docs, row)
     goals = written(targets(sized), "targets")
     total = goals.agg(F.sum("quota")).first()[0] or 0
     slots = schedule(goals, total, block)
@@ -162,3 +162,15 @@ def mixture(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     facts = goals.select(F.col("source").alias("name"), "source_size", "target")
     out = out.join(facts, same_source)
     return out.select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def repeated(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, all columns: each as often as its words are taken, rounded.
+
+    Rows of size 0 and rows taken less than half go.
+    """
+    own = docs.columns
+    placed = written(docs.select("*", F.monotonically_increasing_id().alias("_row")), "placed")
+    plan = mixture(placed.select("doc_id", "source", "text", "_row"), block, row="_row")
+    times = plan.where("size > 0").select(F.col("row").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return placed.join(times.where("_times > 0"), "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*own)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.llm import exact_dedup, language_id, mixing, mpeg_audio, sentencepiece_unigram, simhash, sst, token_counts
+from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, sentencepiece_unigram, simhash, sst, token_counts, toxicity
 from bazaarium.llm.tables import held_out
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +25,14 @@ def vocabulary(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 5, 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~out & F.col("toxic").isNotNull())
+    machine = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.scored(docs, machine).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -48,6 +56,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(documents(spark, sf_dir))
+    return out.select("doc_id", "lines_before", "lines_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -95,11 +108,13 @@ FROM a JOIN q ON a.source IS NOT DISTINCT FROM q.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_token_shards": op3_token_shards,
     "op4_language_id": op4_language_id,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,

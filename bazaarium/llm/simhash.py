@@ -172,3 +172,15 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
     ids = written(labels.join(least, "component").select("fp", "component_id", "n"), "components")
     joined = hot_safe_left_join(prints, ids, ["fp"], "n", rows)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each group of near copies the one with the smallest doc_id.
+
+    Of rows that repeat an id one stays; rows with a null id stay, one of each text, where their group has no id.
+    """
+    groups = near_groups(docs, shingle_words)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return kept.withColumn("_of", nameless).dropDuplicates(["doc_id", "_of"]).drop("_of")
