@@ -6,36 +6,49 @@ keeps part of the weight.  Landmarks are strings that mark labelled toxic senten
 its kernel values with them, whitened by the landmarks' own kernel.  A linear machine is trained on tokens of labelled
 sentences; a document scores by its worst token, turned into a probability on the labelled documents.
 
-Tokens are runs between white space, lower-cased; runs of single characters ("x y z") also count joined.  Long tokens are
-seen through overlapping windows, so whole texts are scored.  Distinct tokens are scored once per worker.
+Tokens are runs between white space, lower-cased, without marks inside; runs of single characters ("x y z") also count
+joined.  Long tokens are seen through overlapping windows, so whole texts are scored.  Distinct tokens are scored once per worker.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import id_and_text, slices
+from bazaarium.llm.tables import id_and_text, slices, written
 
-ORDER, DECAY = 3, 0.5
+ORDER, DECAY = 4, 0.6
 #: Landmarks at most, and their length.
 LANDMARKS, SHORTEST, LONGEST = 32, 4, 8
 #: Characters of a token seen at once, and the step from one view to the next.
 VIEW, STEP = 24, 12
-#: Bounds of what is learned from: labelled documents, and tokens of either kind.
-MAX_LABELLED, MAX_TOKENS = 20_000, 40_000
-#: A token is taken for an insult if so many toxic documents and next to no others have it.
-LEAST_TOXIC, MOST_CLEAN_SHARE = 3, 0.02
+#: Bounds of what is learned from: labelled documents, landmark candidates, and tokens of either kind.
+MAX_LABELLED, MAX_CANDIDATES, MAX_TOKENS = 12_000, 5_000, 20_000
+#: Log-likelihood ratio above which a substring is no chance find among some millions.
+EVIDENCE = 17.0
+#: A landmark's documents are toxic in so many of all cases at least.
+PURITY = 0.9
+#: Characters put into an insult to make more examples.
+INSERTED = "xq"
+#: Stands before each token's letters, so that a landmark may be the beginning of a word.
+BEGIN = "^"
+HELD = 500_000
 REMEMBERED = 300_000
 
 
+def letters(token: str) -> str:
+    """Letters and digits of a token, after BEGIN; marks put between them are gone."""
+    return BEGIN + (token if token.isalnum() else "".join(filter(str.isalnum, token)))
+
+
 def tokens(text: str) -> set[str]:
     """Distinct tokens of a text, and runs of three or more single characters joined."""
     parts = text.lower().split()
@@ -77,30 +90,40 @@ class Landmarks:
     def kernel(self, strings: list[str]) -> np.ndarray:
         """Kernel of each string with each landmark, by dynamic programming over the strings' characters.
 
+        Only pairs where ORDER places of the landmark have characters of the string can have any; the others are 0.
         ``tail[p]`` at a landmark's place sums the common subsequences of p + 1 characters that end at or before it,
         weighted to the current places in both strings.
         """
         n, width = len(strings), max(map(len, strings), default=0)
-        codes = np.zeros((width, n), np.int32)
+        codes = np.zeros((n, width), np.int32)
         for i, s in enumerate(strings):
-            codes[: len(s), i] = [self.codes.get(c, 0) for c in s]
-        shape = (n, len(self.words), LONGEST)
-        tail = [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]
-        total = np.zeros(shape[:2], np.float32)
-        for row in codes:
-            # Strings whose character is in no landmark only decay.
-            at = np.flatnonzero(row)
-            hit = self.match[row[at]] * np.float32(DECAY * DECAY)
+            codes[i, : len(s)] = [self.codes.get(c, 0) for c in s]
+        has = np.zeros((n, len(self.codes) + 1), np.float32)
+        has[np.arange(n)[:, None], codes] = 1
+        of, mark = np.nonzero(has @ self.match.sum(axis=2) >= ORDER)
+        # Longest strings first, so that the pairs still going are a prefix.
+        sizes = np.array([len(s) for s in strings], np.int64)[of]
+        order = np.argsort(-sizes, kind="stable")
+        of, mark, sizes = of[order], mark[order], sizes[order]
+        total = np.zeros(len(of))
+        tail = [np.zeros((len(of), LONGEST), np.float32) for _ in range(ORDER - 1)]
+        for i in range(width):
+            k = int(np.searchsorted(-sizes, -i))
+            if not k:
+                break
+            hit = self.match[codes[of[:k], i], mark[:k]] * np.float32(DECAY * DECAY)
             ends = [hit]
             for p in range(1, ORDER):
-                before = np.zeros_like(hit)
-                before[:, :, 1:] = tail[p - 1][at][:, :, :-1]
-                ends.append(hit * before)
-            total[at] += ends[-1].sum(axis=2)
+                end = np.zeros_like(hit)
+                np.multiply(hit[:, 1:], tail[p - 1][:k, :-1], out=end[:, 1:])
+                ends.append(end)
+            total[:k] += ends[-1].sum(axis=1)
             for p in range(ORDER - 1):
-                tail[p] *= np.float32(DECAY)
-                tail[p][at] += ends[p] @ self.spread
-        return total.astype(np.float64)
+                tail[p][:k] *= np.float32(DECAY)
+                tail[p][:k] += ends[p] @ self.spread
+        out = np.zeros((n, len(self.words)))
+        out[of, mark] = total
+        return out
 
 
 @dataclass
@@ -142,33 +165,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
 
 
-def pick_landmarks(toxic: dict[str, int], clean: dict[str, int], most: int = LANDMARKS) -> list[str]:
-    """Substrings that cover the insults best: greedily, by documents not covered yet, and the longest of equal ones.
+def pick_landmarks(evidence: dict[str, float], most: int = LANDMARKS) -> list[str]:
+    """Substrings by evidence, each as long as its evidence lasts; none shares SHORTEST characters in a row with another."""
 
-    ``toxic``: documents by insult token; ``clean``: documents by token of documents that are not toxic.
-    """
-    within: dict[str, set[str]] = defaultdict(set)
-    for t in toxic:
-        letters = "".join(c for c in t if c.isalnum())
-        for n in range(SHORTEST, LONGEST + 1):
-            for i in range(len(letters) - n + 1):
-                within[letters[i : i + n]].add(t)
-    gain = {s: sum(toxic[t] for t in ts) for s, ts in within.items()}
-    worth = {s for s, _ in sorted(gain.items(), key=lambda x: (-x[1], x[0]))[:20_000]}
-    harm: Counter = Counter()
-    for t, n in clean.items():
-        for s in {t[i : i + k] for k in range(SHORTEST, LONGEST + 1) for i in range(len(t) - k + 1)} & worth:
-            harm[s] += n
-    worth = {s for s in worth if harm[s] <= MOST_CLEAN_SHARE * gain[s]}
-    left, chosen = set(toxic), []
-    while len(chosen) < most and worth:
-        value = {s: sum(toxic[t] for t in within[s] if t in left) for s in worth}
-        best = max(worth, key=lambda s: (value[s], len(s), s))
-        if value[best] < LEAST_TOXIC:
+    def parts(s: str) -> set[str]:
+        return {s[i : i + SHORTEST] for i in range(len(s) - SHORTEST + 1)}
+
+    chosen: list[str] = []
+    used: set[str] = set()
+    for s in sorted(evidence, key=lambda s: (-evidence[s], -len(s), s)):
+        if len(chosen) == most:
             break
+        if parts(s) & used:
+            continue
+        longer = [t for t in evidence if s in t and evidence[t] >= 0.9 * evidence[s] and not parts(t) & used]
+        best = max(longer, key=lambda t: (len(t), evidence[t], t))
         chosen.append(best)
-        left -= within[best]
-        worth = {s for s in worth if within[s] & left}
+        used |= parts(best)
     return chosen
 
 
@@ -225,7 +238,7 @@ class Scorer:
                 else:
                     self.recent[w] = old
         new.sort(key=len)
-        cut = [views(w) for w in new]
+        cut = [views(letters(w)) for w in new]
         found = self.machine.margins([v for c in cut for v in c])
         at = 0
         for w, c in zip(new, cut, strict=True):
@@ -239,41 +252,82 @@ class Scorer:
         return [max(map(found, ts), default=floor) for ts in each]
 
 
-def _token_counts(labelled: DataFrame) -> DataFrame:
-    """(token, toxic, n): documents of either label by token, for (text, toxic)."""
+def _distinct(labelled: DataFrame) -> DataFrame:
+    """(text, toxic) with one of each group of copies: equal least hash of three words in a row, and equal label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keys = []
+                for text in part.column("text").to_pylist():
+                    words = text.lower().split()
+                    three = map(" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [" ".join(words)]
+                    keys.append(min(map(xxhash.xxh64_intdigest, three)) - (1 << 63))
+                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("toxic"), pa.array(keys, pa.int64())], ["text", "toxic", "key"])
+
+    keyed = labelled.select("text", "toxic").mapInArrow(run, "text string, toxic int, key long")
+    return keyed.groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
+def _counts(labelled: DataFrame, substrings: bool) -> DataFrame:
+    """(part, bad, good): toxic and other documents by token, or by substring of a token that may be a landmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(held.values(), pa.int64())], ["part", "toxic", "n"])
+
         for batch in batches:
             for part in slices(batch):
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    held.update((v, toxic) for t in tokens(text) for v in views(t))
-        keys = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], ["token", "toxic", "n"])
+                    found = {v for t in tokens(text) for v in views(letters(t))}
+                    if substrings:
+                        found = {t[i : i + n] for t in found for n in range(SHORTEST, LONGEST + 1) for i in range(len(t) - n + 1)}
+                    held.update((f, toxic) for f in found)
+                    if len(held) > HELD:
+                        yield out()
+                        held.clear()
+        yield out()
+
+    counted = labelled.mapInArrow(run, "part string, toxic int, n long")
+    return counted.groupBy("part").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
 
-    return labelled.mapInArrow(run, "token string, toxic int, n long").groupBy("token", "toxic").agg(F.sum("n").alias("n"))
+
+def _gapped(words: list[str]) -> list[str]:
+    """Insults with a character put in, in every place."""
+    return [w[:i] + c + w[i:] for w in words for c in INSERTED for i in range(2, len(w))]
 
 
 def fit(labelled: DataFrame) -> Machine | None:
     """Train on ``labelled`` (doc_id, text, toxic 0 or 1), at most MAX_LABELLED of its documents by a digest of the id.
 
-    At most MAX_TOKENS tokens of either kind come to the driver.  None if no insult can be told from other tokens.
+    Landmarks are the substrings with the best evidence of toxic documents.  Examples are tokens: insults hold a landmark
+    and come from toxic documents, gapped forms are added; the others are tokens of documents that are not toxic.  At
+    most MAX_CANDIDATES substrings and MAX_TOKENS tokens of either kind come to the driver.  None if no insult can be told.
     """
     src = labelled.select(labelled["doc_id"], F.coalesce(labelled["text"], F.lit("")).alias("text"), labelled["toxic"].cast("int").alias("toxic")).where("toxic IN (0, 1)")
     order = F.xxhash64("doc_id")
-    edge = src.select(order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(MAX_LABELLED).agg(F.max("h")).first()[0]
+    edge = src.select(order.alias("h")).orderBy("h").limit(MAX_LABELLED).agg(F.max("h")).first()[0]
     if edge is None:
         return None
-    src = src.where(order <= edge)
-    counts = _token_counts(src.select("text", "toxic")).groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    insult = (F.col("bad") >= LEAST_TOXIC) & (F.col("good") <= MOST_CLEAN_SHARE * F.col("bad"))
-    bad = {r.token: r.bad for r in counts.where(insult).orderBy(F.desc("bad"), "token").limit(MAX_TOKENS).collect()}
-    good = {r.token: r.good for r in counts.where(~insult & (F.col("good") > 0)).orderBy(F.desc("good"), F.xxhash64("token"), "token").limit(MAX_TOKENS).collect()}
-    words = pick_landmarks(bad, good)
-    if not words or not good:
+    src = written(_distinct(src.where(order <= edge)), "labelled")
+    rate = src.agg(F.avg("toxic")).first()[0]
+    if not 0 < rate < 1:
+        return None
+    share = F.col("bad") / (F.col("bad") + F.col("good"))
+    gain = F.col("bad") * F.log(share / rate) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - rate))).otherwise(0)
+    found = _counts(src, True).where((F.col("bad") > 2) & (share >= PURITY)).withColumn("gain", gain).where(F.col("gain") >= EVIDENCE)
+    words = pick_landmarks({r.part: r.gain for r in found.orderBy(F.desc("gain"), "part").limit(MAX_CANDIDATES).collect()})
+    if not words:
         return None
-    # Only insults that some landmark lies in are examples: the others are chance words of toxic documents.
-    bad = {t: n for t, n in bad.items() if any(w in "".join(c for c in t if c.isalnum()) for w in words)}
+    every = written(_counts(src, False), "tokens")
+    holds = F.col("part").rlike("|".join(w.replace(BEGIN, "\\" + BEGIN) for w in words))
+    bad = [r.part for r in every.where((F.col("good") == 0) & holds).orderBy(F.desc("bad"), "part").limit(MAX_TOKENS).collect()]
+    # Half by frequency, half by a digest.
+    clean = every.where("good > 0").select("part", "good")
+    good = {r.part for way in (F.desc("good"), F.xxhash64("part")) for r in clean.orderBy(way, "part").limit(MAX_TOKENS // 2).collect()}
     marks = Landmarks(words)
     own = marks.kernel(words)
     scale = np.sqrt(np.diag(own))
@@ -281,7 +335,8 @@ def fit(labelled: DataFrame) -> Machine | None:
     keep = values > 1e-6
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     machine = Machine(marks, whiten, scale, np.zeros(keep.sum()), 0.0)
-    strings = [*bad, *good]
+    bad = list(dict.fromkeys([*bad, *words, *_gapped(words)]))
+    strings = [*bad, *sorted(good)]
     y = np.array([1.0] * len(bad) + [-1.0] * len(good))
     x = np.concatenate([machine.features(strings[i : i + 2048]) for i in range(0, len(strings), 2048)])
     machine.weights, machine.bias = train_linear(x, y)
