@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import SPACES, hot_safe_left_join, written
+from bazaarium.llm.tables import SPACES, bitmap, flagged, hot_safe_left_join, written
 
 #: Fingerprints that a merged filter should hold at most, in the mean.
 SLICE_ROWS = 1 << 18
@@ -118,7 +118,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     repeated = written(repeated_fingerprints(prints, rows), "repeated")
 
     # Byte verification: whole texts are the grouping key, so Spark compares their bytes; copies meet map-side first.
-    suspects = base.withColumn("fp", F.xxhash64("text"))
+    suspects = flagged(base.withColumn("fp", F.xxhash64("text")), "fp", written(bitmap(repeated, "fp"), "repeated-bits")).where("_maybe").drop("_maybe")
     suspects = hot_safe_left_join(suspects, repeated.withColumn("seen", F.lit(1)), ["fp"], "n", rows).where("seen = 1")
     groups = suspects.groupBy("fp", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.where("group_size > 1").select("fp", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size", F.col("group_size").alias("n"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import hot_safe_left_join, slices, written
+from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, slices, written
 
 WINDOW = 2
 #: A chunk ends at one line of so many.
@@ -79,7 +79,8 @@ def removals(docs: DataFrame) -> DataFrame:
     total = every.count()
     often = written(every.groupBy("fp", "fp2").agg(F.count("*").alias("n")).where("n > 1"), "often")
     # Byte comparison: the chunk's text is part of the grouping key; equal chunks meet map-side first.
-    texts = hot_safe_left_join(_occurrences(keyed, True), often.withColumn("seen", F.lit(1)), ["fp", "fp2"], "n", total).where("seen = 1")
+    texts = flagged(_occurrences(keyed, True), "fp", written(bitmap(often, "fp"), "often-bits")).where("_maybe").drop("_maybe")
+    texts = hot_safe_left_join(texts, often.withColumn("seen", F.lit(1)), ["fp", "fp2"], "n", total).where("seen = 1")
     place = F.struct("_id", "_print", "chunk_no")
     groups = texts.groupBy("fp", "fp2", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).drop("chunk")
     # Should two texts share both hashes, neither is touched.
@@ -96,7 +97,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     own = docs.columns
     keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_print"))
-    joined = keyed.join(written(removals(docs), "removals"), ["_id", "_print"], "left").select(*own, "cut")
+    cuts = written(removals(docs), "removals")
+    marked = flagged(keyed, "_print", written(bitmap(cuts, "_print"), "removal-bits"))
+    touched = marked.where("_maybe").join(cuts, ["_id", "_print"], "left").select(*own, "cut")
+    joined = touched.unionByName(marked.where("NOT _maybe").select(*own, F.lit(None).cast("array<int>").alias("cut")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -60,6 +60,28 @@ def slices(batch: pa.RecordBatch, text: int | str = "text", limit: int = SLICE_B
         yield batch.slice(at)
 
 
+#: Bits of a membership bitmap; its rows, one for each 64 bits, are at most 2 ** (BITMAP_BITS - 6).
+BITMAP_BITS = 24
+
+
+def bitmap(keys: DataFrame, column: str) -> DataFrame:
+    """(_word, _bits): a bitmap of the low bits of a long column.  Its size is bounded whatever the number of keys."""
+    place = F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)
+    bits = keys.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("_bit"))
+    return bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def flagged(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
+    """Add ``_maybe``: false only if a row's key is not among those of a written bitmap.
+
+    Rows that cannot match thus need no shuffle.  With more keys more rows are passed on, none is lost.
+    """
+    word = F.shiftright(F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1), 6)
+    joined = df.withColumn("_word", word).join(F.broadcast(members), "_word", "left")
+    hit = F.expr(f"(shiftright(_bits, cast({column} & 63 AS int)) & 1) = 1")
+    return joined.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_word", "_bits")
+
+
 def hot_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
     """Left join whose hot keys go by broadcast.
 
