@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarium import values as V
-from bazaarium.functions.fuzzy import token_set_ratio
+from bazaarium.functions.fuzzy import let, token_set_ratio
 
 
 @F.pandas_udf(T.StringType())
@@ -85,11 +85,17 @@ def relevance(query: Column, name: Column, characteristics: Column, rating: Colu
     """
     query, name = F.trim(query), F.trim(name)
     text = F.trim(F.concat_ws(" ", name, F.array_join(telling_values(characteristics), " ")))
-    a, b = (F.lower(query), F.lower(text)) if casefold else (query, text)
-    base = token_set_ratio(a, b)
-    total = base + spec_bonus(query_tokens(query), query_tokens(text)) + trust_bonus(base, rating, reviews)
-    blank = (F.coalesce(query, F.lit("")) == "") | (F.coalesce(name, F.lit("")) == "") | (F.size(query_tokens(query)) == 0)
-    return F.when(blank, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1))
+
+    def score(t: Column) -> Column:
+        a, b = (F.lower(t["query"]), F.lower(t["text"])) if casefold else (t["query"], t["text"])
+        return let(token_set_ratio(a, b), lambda base: total(base, t))
+
+    def total(base: Column, t: Column) -> Column:
+        added = base + spec_bonus(t["tokens"], query_tokens(t["text"])) + trust_bonus(base, rating, reviews)
+        return F.when(F.size(t["tokens"]) == 0, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), added)), 1))
+
+    blank = (F.coalesce(query, F.lit("")) == "") | (F.coalesce(name, F.lit("")) == "")
+    return F.when(blank, F.lit(0.0)).otherwise(let(F.struct(query.alias("query"), text.alias("text"), query_tokens(query).alias("tokens")), score))
 
 
 def ambiguous_halves(query: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import id_and_text, slices
+from bazaarium.llm.tables import id_and_text, slices, small_batches
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -66,7 +66,7 @@ def counted(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    src = docs.where(docs["lang"].isNotNull()).select(F.coalesce(docs["text"], F.lit("")).alias("text"), docs["lang"])
+    src = small_batches(docs).where(docs["lang"].isNotNull()).select(F.coalesce(docs["text"], F.lit("")).alias("text"), docs["lang"])
     return src.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -146,4 +146,4 @@ def kept(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 langs, scores = predicted(model, [t or "" for t in part.column("text").to_pylist()])
                 yield part.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

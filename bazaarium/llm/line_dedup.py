@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, slices, written
+from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, slices, small_batches, written
 
 WINDOW = 2
 #: A chunk ends at one line of so many.
@@ -95,7 +95,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A null text stays null and has no lines; an empty one is a single empty line.  Rows equal in id and text are treated
     alike.  A document that loses all its lines keeps an empty text.  An empty table gives an empty result.
     """
-    own = docs.columns
+    own = small_batches(docs).columns
     keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_print"))
     cuts = written(removals(docs), "removals")
     marked = flagged(keyed, "_print", written(bitmap(cuts, "_print"), "removal-bits"))

@@ -37,8 +37,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that go to Python at once; with long texts the usual 10,000 would fill its memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session set to hand Python no more than BATCH_ROWS rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(key, BATCH_ROWS)
+    return docs
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts empty; whatever other columns there are stay behind."""
+    small_batches(docs)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
