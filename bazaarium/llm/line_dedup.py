@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, slices, small_batches, written
+from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, numbered, slices, small_batches, written
 
 WINDOW = 2
 #: A chunk ends at one line of so many.
@@ -89,14 +89,18 @@ def removals(docs: DataFrame) -> DataFrame:
     return marked.where(F.col("first").isNotNull() & (F.col("first") != place)).groupBy("_id", "_print").agg(F.collect_set("chunk_no").alias("cut"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with repeated chunks gone from text, and lines_before, lines_removed.
+def deduplicated(docs: DataFrame, before: str = "lines_before", removed: str = "lines_removed") -> DataFrame:
+    """All columns of ``docs`` with repeated chunks gone from text, and two more: lines before, and those removed.
 
     A null text stays null and has no lines; an empty one is a single empty line.  Rows equal in id and text are treated
-    alike.  A document that loses all its lines keeps an empty text.  An empty table gives an empty result.
+    alike.  A document that loses all its lines keeps an empty text.  An empty table gives an empty result.  Columns of
+    ``docs`` with the two names are replaced, whatever other columns it has stay as they are.
     """
-    own = small_batches(docs).columns
-    keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_print"))
+    docs = small_batches(docs).drop(before, removed)
+    names = docs.columns
+    plain, own = numbered(docs)
+    the_id, the_text = (own[names.index(c)] for c in ("doc_id", "text"))
+    keyed = plain.select("*", F.coalesce(F.col(the_id).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.coalesce(the_text, F.lit(""))).alias("_print"))
     cuts = written(removals(docs), "removals")
     marked = flagged(keyed, "_print", written(bitmap(cuts, "_print"), "removal-bits"))
     touched = marked.where("_maybe").join(cuts, ["_id", "_print"], "left").select(*own, "cut")
@@ -104,19 +108,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                texts, before, removed = [], [], []
-                for text, cut in zip(part.column("text").to_pylist(), part.column("cut").to_pylist(), strict=True):
+            for part in slices(batch, the_text):
+                texts, had, gone_lines = [], [], []
+                for text, cut in zip(part.column(the_text).to_pylist(), part.column("cut").to_pylist(), strict=True):
                     gone, kept, lost = set(cut or ()), text, 0
                     if gone:
                         split = chunks(text)
                         kept = "\n".join("\n".join(c) for n, c in enumerate(split) if n not in gone)
                         lost = sum(len(c) for n, c in enumerate(split) if n in gone)
                     texts.append(kept)
-                    before.append(0 if text is None else text.count("\n") + 1)
-                    removed.append(lost)
-                columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in own]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], [*own, "lines_before", "lines_removed"])
+                    had.append(0 if text is None else text.count("\n") + 1)
+                    gone_lines.append(lost)
+                columns = [pa.array(texts, pa.string()) if c == the_text else part.column(c) for c in own]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(had, pa.int64()), pa.array(gone_lines, pa.int64())], [*own, "_had", "_lost"])
 
-    schema = joined.drop("cut").schema.add("lines_before", "long").add("lines_removed", "long")
-    return joined.mapInArrow(run, schema)
+    schema = joined.drop("cut").schema.add("_had", "long").add("_lost", "long")
+    return joined.mapInArrow(run, schema).toDF(*names, before, removed)

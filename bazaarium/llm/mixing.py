@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import written
+from bazaarium.llm.tables import numbered, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -169,8 +169,9 @@ def repeated(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
     Rows of size 0 and rows taken less than half go.
     """
-    own = docs.columns
-    placed = written(docs.select("*", F.monotonically_increasing_id().alias("_row")), "placed")
-    plan = mixture(placed.select("doc_id", "source", "text", "_row"), block, row="_row")
+    plain, own = numbered(docs)
+    placed = written(plain.select("*", F.monotonically_increasing_id().alias("_row")), "placed")
+    read = [F.col(own[docs.columns.index(c)]).alias(c) for c in ("doc_id", "source", "text")]
+    plan = mixture(placed.select(*read, "_row"), block, row="_row")
     times = plan.where("size > 0").select(F.col("row").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return placed.join(times.where("_times > 0"), "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*own)
+    return placed.join(times.where("_times > 0"), "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*own).toDF(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarium.llm.components import connected_components
-from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, id_and_text, slices, written
+from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, id_and_text, numbered, slices, written
 
 SHINGLE_WORDS, SEED = 4, 42
 MAX_BITS = 4
@@ -182,10 +182,12 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
     groups = written(near_groups(docs, shingle_words), "groups")
     mark = F.xxhash64("doc_id").alias("_mark")
     gone = written(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), mark).distinct(), "gone")
-    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    marked = docs.select("*", mark, nameless.alias("_of"))
-    again = written(marked.groupBy("doc_id", "_of", "_mark").count().where("count > 1").select("_mark").distinct(), "again")
+    plain, own = numbered(docs)
+    the_id, the_text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
+    nameless = F.when(F.col(the_id).isNull(), F.xxhash64(the_text))
+    marked = plain.select("*", F.xxhash64(F.col(the_id).cast("long")).alias("_mark"), nameless.alias("_of"))
+    again = written(marked.groupBy(the_id, "_of", "_mark").count().where("count > 1").select("_mark").distinct(), "again")
     # Only documents that may go are dealt out anew.
     marked = flagged(marked, "_mark", written(bitmap(gone.select("_mark").unionByName(again), "_mark"), "gone-bits"))
-    doubtful = marked.where("_maybe").join(gone.select("_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "_of"])
-    return doubtful.unionByName(marked.where("NOT _maybe")).select(*docs.columns)
+    doubtful = marked.where("_maybe").join(gone.select("_gone"), F.col(the_id).eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates([the_id, "_of"])
+    return doubtful.unionByName(marked.where("NOT _maybe")).select(*own).toDF(*docs.columns)

@@ -49,6 +49,12 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1 and so on, and those names: none clashes with what an operator adds."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts empty; whatever other columns there are stay behind."""
     small_batches(docs)
