@@ -57,7 +57,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicated(documents(spark, sf_dir))
+    out = line_dedup.deduplicated(documents(spark, sf_dir), passages=True)
     return out.select("doc_id", "lines_before", "lines_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
