@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from bazaarium.llm import line_dedup, queries
 
 SCHEMA = "doc_id long, text string"
@@ -57,3 +58,10 @@ def test_query_removes_short_passages(spark, tmp_path, n):
     rows = [(i, "\n".join([f"begin {i}", *passage, f"end {i}"])) for i in (1, 2)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.lines_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: n}
+
+
+def test_line_stage_keeps_words_of_their_own(spark):
+    passage = "\n".join(prose(random.Random(4), 20, 12, "p"))
+    table = [(1, passage, 0), (2, f"{passage}\na few words of its own", 0), (3, passage, 0), (4, "", 0)]
+    out = corpus_pipeline.lines(spark, spark.createDataFrame(table, f"{SCHEMA}, n_chars long"), "").collect()
+    assert {r.doc_id: r.text for r in out} == {1: passage, 2: "a few words of its own", 4: ""}
