@@ -119,6 +119,29 @@ def sorted_by_reviews(spark, sf):
     return _top(offers.sorted_places(o, "reviews_desc")).withColumn("way", F.lit("down")).unionByName(_top(offers.sorted_places(o, "reviews_asc")).withColumn("way", F.lit("up")))
 
 
+def _places(placed: DataFrame) -> DataFrame:
+    """Every offer with its place."""
+    return placed.select("query_id", "place", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query
+def places_by_relevance(spark, sf):
+    o = bridge.offers(spark, sf).withColumn("relevance", F.when(F.col("l_orderkey") % 3 != 0, (F.col("l_partkey") % 100).cast("double")))
+    return _places(offers.sorted_places(o, "relevance"))
+
+
+@query
+def places_by_price(spark, sf):
+    o = bridge.offers(spark, sf)
+    return _places(offers.sorted_places(o, "price_asc")).withColumn("way", F.lit("up")).unionByName(_places(offers.sorted_places(o, "price_desc")).withColumn("way", F.lit("down")))
+
+
+@query
+def places_by_reviews(spark, sf):
+    o = bridge.offers(spark, sf)
+    return _places(offers.sorted_places(o, "reviews_desc")).withColumn("way", F.lit("down")).unionByName(_places(offers.sorted_places(o, "reviews_asc")).withColumn("way", F.lit("up")))
+
+
 @query
 def per_source_limit(spark, sf):
     return offers.per_source_limit(bridge.offers(spark, sf), 10).select("query_id", "source", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
