@@ -143,12 +143,18 @@ def sentiment_label(label: Column) -> Column:
 
 def image_query(text: Column) -> Column:
     """A model's answer as a query: first line, lead-ins and outer marks gone, at most 120 characters cut at a word."""
-    line = F.split(F.trim(text), "\\R")[0]
-    for lead in V.IMAGE_LEADS:
-        line = F.when(F.startswith(line, F.lit(lead)), F.substring(line, len(lead) + 1, 1 << 30)).otherwise(line)
-    bare = F.btrim(line, F.lit(V.IMAGE_MARKS))
-    cut = F.regexp_replace(F.substring(bare, 1, 120), r" [^ ]*$", "")
-    return F.when(F.length(bare) > 120, cut).otherwise(bare)
+    def dropped(line: Column, lead: Column) -> Column:
+        return F.when(F.startswith(line, lead), F.substr(line, F.length(lead) + 1)).otherwise(line)
+
+    first = F.split(F.trim(text), "\\R")[0]
+    # A fold names the line once for each lead-in; nested expressions would name it thrice at each level.
+    line = F.aggregate(F.array(*map(F.lit, V.IMAGE_LEADS)), first, dropped)
+
+    def shown(bare: Column) -> Column:
+        cut = F.regexp_replace(F.substring(bare, 1, 120), r" [^ ]*$", "")
+        return F.when(F.length(bare) > 120, cut).otherwise(bare)
+
+    return let(F.btrim(line, F.lit(V.IMAGE_MARKS)), shown)
 
 
 def aspects(items: Column) -> Column:

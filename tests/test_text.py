@@ -105,10 +105,27 @@ def test_relevance_bounds(spark):
     assert score("abc 15", "xyz", {"Память": "15"}) > score("abc 15", "xyz", {"Прочее": "15"})
 
 
-def test_small_texts(spark):
-    assert one(spark, text.image_query(F.lit("На фото красный чайник.\nещё"))) == "красный чайник"
-    assert len(one(spark, text.image_query(F.lit("слово " * 40)))) <= 120
-    assert one(spark, text.aspect_score(F.lit("0"))) == 50
-    assert one(spark, text.aspect_score(F.lit("140"))) == 100
-    assert one(spark, text.spelling_applied(F.lit("привет мир"), F.lit("Привет, мир!"))) == "привет, мир"
-    assert one(spark, text.sentiment_label(F.lit("POSITIVE"))) == "positive"
+@pytest.mark.parametrize(("raw", "expected"), [("На фото красный чайник.\nещё", "красный чайник"), ("чайник", "чайник"), ("", ""), (None, None)])
+def test_image_query(spark, raw, expected):
+    assert one(spark, text.image_query(F.lit(raw).cast("string"))) == expected
+
+
+def test_image_query_is_cut_at_a_word(spark):
+    got = one(spark, text.image_query(F.lit("слово " * 40)))
+    assert len(got) <= 120
+    assert set(got.split()) == {"слово"}
+
+
+@pytest.mark.parametrize(("raw", "expected"), [("0", 50), ("140", 100), ("-3", 0), ("71", 71), ("x", 50), (None, 50)])
+def test_aspect_score(spark, raw, expected):
+    assert one(spark, text.aspect_score(F.lit(raw).cast("string"))) == expected
+
+
+@pytest.mark.parametrize(("raw", "fixed", "expected"), [("привет мир", "Привет, мир!", "привет, мир"), ("Привет", "Привет.", "Привет")])
+def test_spelling_applied(spark, raw, fixed, expected):
+    assert one(spark, text.spelling_applied(F.lit(raw), F.lit(fixed))) == expected
+
+
+@pytest.mark.parametrize(("label", "expected"), [("POSITIVE", "positive"), ("neg", "negative"), ("LABEL_1", "neutral")])
+def test_sentiment_label(spark, label, expected):
+    assert one(spark, text.sentiment_label(F.lit(label))) == expected
