@@ -42,16 +42,35 @@ def test_equals_sql(spark, name):
     assert sorted(map(show, got.select(*names).collect())) == sorted(map(show, want.project(", ".join(names)).fetchall()))
 
 
-def test_toxicity_finds_plain_and_gapped_insults(spark, docs):
+@pytest.fixture(scope="module")
+def machine(spark):
+    """Trained on sentences made here: insults in toxic ones, their likes in clean ones, and a few wrong labels."""
+    rng = np.random.default_rng(7)
+    syllables = ["the", "on", "re", "sting", "or", "in", "da", "mo", "ter", "ash", "ful", "low", "est", "pid"]
+    rows = []
+    for i in range(900):
+        words = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(60)]
+        toxic = i % 5 == 0
+        for at in rng.integers(0, 60, 2 * toxic):
+            words[at] = rng.choice(["worthless", "pathetic", "stupid"])
+        rows.append((i, ". ".join(" ".join(words[k : k + 10]) for k in range(0, 60, 10)), int(toxic) if i % 180 else 1 - int(toxic)))
+    return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+
+
+CLEAN = "the ondare is mo. reonter lowest daful, "
+
+
+@pytest.mark.parametrize("insult", ["worthless", "Pathetic!", "stupid", "worxthless", "patqhetic", "stuxpid", "worxthqless", "pathxetzic", "worthess", "pathtic", "worth less", "pathe tic", "w o r t h l e s s", "s-t-u-p-i-d"])
+def test_plain_and_disguised_insults_are_toxic(machine, insult):
+    clean, hit = machine.probability(np.array(machine.scorer.margins([CLEAN * 20, CLEAN * 10 + insult + " " + CLEAN * 10])))
+    assert clean < 0.5 <= hit
+
+
+def test_toxicity_of_held_out_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
     out = queries.op1_toxicity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("toxic", "predicted").toPandas()
     assert (out.toxic == out.predicted).mean() >= 0.9
-    labelled = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
-    machine = toxicity.fit(labelled)
-    word = machine.landmarks.words[0].lstrip(toxicity.BEGIN)
-    gapped = word[:2] + "z" + word[2:]
-    clean, hit, odd = machine.margins([toxicity.letters(w) for w in ("morning", word, gapped)])
-    assert hit > odd > clean
+    assert out[out.toxic == 0].predicted.mean() <= 0.02
 
 
 def test_subsequence_kernel_equals_all_subsequences():
@@ -64,9 +83,25 @@ def test_subsequence_kernel_equals_all_subsequences():
             out[k] = out.get(k, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
         return out
 
-    marks, strings = ["abcde", "banana", "xyzw"], ["abxcde", "bananas", "", "wzyx", "aabbccddee"]
-    want = [[sum(v * weights(m).get(k, 0) for k, v in weights(s).items()) for m in marks] for s in strings]
-    np.testing.assert_allclose(toxicity.Landmarks(marks).kernel(strings), want, rtol=1e-4)
+    def kernel(a, b):
+        return sum(v * weights(b).get(k, 0) for k, v in weights(a).items())
+
+    marks, strings = ["abcde", "banana", "xyzw"], ["abxcde", "bananas", "", "wzyx", "aabbccddee", "bxanqana", "abde", "ab"]
+    known = set("".join(marks))
+
+    def wanted(s, m):
+        s = "".join(c if c in known else "?" for c in s)
+        enough = sum(c in s for c in m) >= toxicity.NEEDED * len(m)
+        return kernel(s, m) / kernel(s, s) ** 0.5 if enough else 0.0
+
+    np.testing.assert_allclose(toxicity.Landmarks(marks).kernel(strings), [[wanted(s, m) for m in marks] for s in strings], rtol=1e-4)
+
+
+def test_toxicity_scores_odd_rows(machine, edge, empty):
+    got = toxicity.scored(edge, machine).collect()
+    assert len(got) == edge.count()
+    assert all(0 <= r.score < 0.5 for r in got)
+    assert toxicity.scored(empty, machine).count() == 0
 
 
 def test_simhash_equals_all_pairs(docs, rows):
