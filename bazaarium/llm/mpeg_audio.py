@@ -48,6 +48,8 @@ class Header:
     rate: int
     padding: int
     mono: bool
+    #: Subbands that have two channels of their own; in joint stereo the others share their allocation.
+    bound: int = 32
 
     @property
     def samples(self) -> int:
@@ -80,7 +82,9 @@ def header(raw: bytes) -> Header | None:
     index, rate = raw[2] >> 4, raw[2] >> 2 & 3
     if version == 1 or layer == 4 or index in (0, 15) or rate == 3:
         return None
-    return Header(version, layer, not raw[1] & 1, KBPS[version == 3, layer][index - 1], RATES[version][rate], raw[2] >> 1 & 1, raw[3] >> 6 == 3)
+    mode = raw[3] >> 6
+    bound = 0 if mode == 3 else 4 * (raw[3] >> 4 & 3) + 4 if mode == 1 else 32
+    return Header(version, layer, not raw[1] & 1, KBPS[version == 3, layer][index - 1], RATES[version][rate], raw[2] >> 1 & 1, mode == 3, bound)
 
 
 def _crc_table() -> np.ndarray:
@@ -102,11 +106,58 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
-def _protected(h: Header) -> int:
-    """Bytes after the checksum that it covers, or -1 where that depends on the frame's content."""
+# Fixed values of the format: subbands of Layer II by the bits of their allocation, as (bits, subbands) in order.
+ALLOCATIONS = {
+    "a": [(4, 11), (3, 12), (2, 4)],
+    "b": [(4, 11), (3, 12), (2, 7)],
+    "c": [(4, 2), (3, 6)],
+    "d": [(4, 2), (3, 10)],
+    "low": [(4, 4), (3, 7), (2, 19)],
+}
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a Layer II frame."""
+    each = h.kbps if h.mono else h.kbps // 2
+    if h.version != 3:
+        table = "low"
+    elif each < 56:
+        table = "d" if h.rate == 32000 else "c"
+    else:
+        table = "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATIONS[table] for _ in range(n)]
+
+
+def protected_bits(h: Header, body: bytes) -> int:
+    """Bits after the checksum that it covers; ``body`` is what follows the checksum.
+
+    Layer III: the side information.  Layer I: the allocation.  Layer II: the allocation, and two bits for each channel of a
+    subband to which it gives any.
+    """
     if h.layer == 3:
-        return h.side
-    return 16 if h.layer == 1 and h.mono else -1
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + h.bound)
+    number, size = int.from_bytes(body, "big"), 8 * len(body)
+    at = chosen = 0
+    for subband, bits in enumerate(_allocation(h)):
+        shared = not h.mono and subband >= h.bound
+        for _ in range(1 if h.mono or shared else 2):
+            at += bits
+            if at > size:
+                return size + 1
+            if number >> (size - at) & ((1 << bits) - 1):
+                chosen += 2 if shared else 1
+    return at + 2 * chosen
+
+
+def crc16_bits(head: bytes, body: bytes, n: int) -> int:
+    """CRC-16 of two header bytes and the first ``n`` bits of the body."""
+    crc = int(crc16(np.frombuffer(head + body[: n // 8], np.uint8)[None, :])[0])
+    for i in range(n // 8 * 8, n):
+        bit = body[i // 8] >> (7 - i % 8) & 1
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ bit) & 1 else 0)) & 0xFFFF
+    return crc
 
 
 @dataclass
@@ -184,6 +235,22 @@ def _vbr_table(frame: bytes, h: Header) -> dict:
     return {}
 
 
+def _wrong(rows: np.ndarray, h: Header) -> int:
+    """Frames (rows of bytes) whose checksum is not that of what it covers; those too short for it count too."""
+    if h.layer == 3:
+        if h.size < 6 + h.side:
+            return len(rows)
+        said = rows[:, 4].astype(np.uint32) << 8 | rows[:, 5]
+        return int((crc16(np.hstack([rows[:, 2:4], rows[:, 6 : 6 + h.side]])) != said).sum())
+    wrong = 0
+    for frame in map(bytes, rows):
+        # The allocation of Layer II and its choices fit in 60 bytes.
+        body = frame[6:70]
+        n = protected_bits(h, body)
+        wrong += n > 8 * len(body) or crc16_bits(frame[2:4], body, n) != int.from_bytes(frame[4:6], "big")
+    return wrong
+
+
 def parse(data: bytes) -> Stream:
     """Parse a stream.  Bytes that are neither frame nor tag are skipped and counted; a cut last frame is skipped too."""
     out, at, end, raw = Stream(), 0, len(data), np.frombuffer(data, np.uint8)
@@ -215,13 +282,9 @@ def parse(data: bytes) -> Stream:
         n = (end - at) // h.size
         same = (raw[at : at + n * h.size].reshape(n, h.size)[:, :4] == raw[at : at + 4]).all(axis=1)
         n = int(np.argmin(same)) if not same.all() else n
-        covered = _protected(h)
-        if h.checked and covered >= 0 and h.size >= 6 + covered:
-            rows = raw[at : at + n * h.size].reshape(n, h.size)
-            said = rows[:, 4].astype(np.uint32) << 8 | rows[:, 5]
-            wrong = int((crc16(np.hstack([rows[:, 2:4], rows[:, 6 : 6 + covered]])) != said).sum())
+        if h.checked:
             out.checks += n
-            out.failures += wrong
+            out.failures += _wrong(raw[at : at + n * h.size].reshape(n, h.size), h)
         out.runs.append((at, n, h.size, h))
         at += n * h.size
     return out
@@ -280,15 +343,17 @@ def padded(text: str) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b" ")
 
 
-def feature(s: Stream) -> str:
-    """One line on a stream: kind, frames, samples, bit rates, checks, table and a digest of the seek offsets."""
+def feature(s: Stream, data: bytes) -> str:
+    """One line on a stream: kind, frames, samples, bit rates, checks, table, and digests of seek offsets and frames."""
     if not s.runs:
         return "no audio"
     h, rates = s.runs[0][3], [r[3].kbps for r in s.runs]
-    seek = zlib.crc32(s.offsets().astype("<u4").tobytes())
+    seek, audio = zlib.crc32(s.offsets().astype("<u4").tobytes()), 0
+    for at, n, size, _ in s.runs:
+        audio = zlib.crc32(memoryview(data)[at : at + n * size], audio)
     said = s.table.get("kind", "none")
     agrees = s.table.get("frames") == s.frames if s.table else False
-    return f"mpeg{VERSIONS[h.version]}-layer{h.layer} {h.rate}Hz {'mono' if h.mono else 'stereo'} frames={s.frames} samples={s.samples} kbps={min(rates)}-{max(rates)} crc={s.checks - s.failures}/{s.checks} skipped={s.skipped} table={said}:{str(agrees).lower()} seek={seek:08x}"
+    return f"mpeg{VERSIONS[h.version]}-layer{h.layer} {h.rate}Hz {'mono' if h.mono else 'stereo'} frames={s.frames} samples={s.samples} kbps={min(rates)}-{max(rates)} crc={s.checks - s.failures}/{s.checks} skipped={s.skipped} table={said}:{str(agrees).lower()} seek={seek:08x} audio={audio:08x}"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -304,31 +369,37 @@ def store(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(make, "doc_id long, n_bytes long, media binary")
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, duration_s double, seek_offsets array<long>"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, samples long, sample_rate long, duration_s double, seek_offsets array<long>"
 
 
-def features(stored: DataFrame, seek: bool = True) -> DataFrame:
-    """Parse stored streams (doc_id, n_bytes, media): payload digests, exact duration, frames and their seek offsets.
+def features(stored: DataFrame) -> DataFrame:
+    """Parse stored streams (doc_id, n_bytes, media): payload digests, duration, and the offsets of all frames.
 
-    A null or empty stream has no payload and the feature ``no audio``.  ``seek`` false leaves the offsets null.
+    The duration is exactly ``samples`` / ``sample_rate`` seconds, ``duration_s`` its nearest double.  A null or empty stream has no
+    payload, no frames, a null rate and the feature ``no audio``.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
+        long, text = pa.int64(), pa.string()
+        kinds = [long, long, long, text, long, long, text, text, long, long, long, pa.float64()]
         for batch in batches:
             for part in slices(batch, "media"):
-                rows = []
+                rows, seeks = [], []
                 for doc_id, n, media in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                     media = media or b""
                     stream = parse(media)
                     payload = payload_of(media, stream)
-                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream), stream.frames, float(stream.duration), stream.offsets().tolist() if seek else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    seeks.append(stream.offsets())
+                    rate = stream.runs[0][3].rate if stream.runs else None
+                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream, media), stream.frames, stream.samples, rate, float(stream.duration)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                offsets = pa.ListArray.from_arrays(np.cumsum([0, *map(len, seeks)]).astype(np.int32), pa.array(np.concatenate(seeks), long))
+                yield pa.RecordBatch.from_arrays([*columns, offsets], names)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, SCHEMA)
 
 
 def audio_column(docs: DataFrame) -> DataFrame:
     """Store every text as audio in the shared folder, read the streams back and describe them; one row per document."""
-    return features(written(store(docs), "audio"), seek=False).drop("seek_offsets")
+    return features(written(store(docs), "audio"))

@@ -175,6 +175,67 @@ def test_audio_resynchronises_and_verifies():
     assert mpeg_audio.parse(bytes(bent)).failures == 1
 
 
+def test_audio_seek_offsets_and_feature_tell_contents(spark):
+    texts_ = [(1, "a" * 5000), (2, "b" * 5000), (3, None)]
+    got = {r.doc_id: r for r in mpeg_audio.audio_column(spark.createDataFrame(texts_, "doc_id long, text string")).collect()}
+    stored = {r.doc_id: bytes(r.media) for r in mpeg_audio.store(spark.createDataFrame(texts_, "doc_id long, text string")).collect()}
+    assert got[1].feature != got[2].feature
+    for i, media in stored.items():
+        assert len(got[i].seek_offsets) == got[i].frames and got[i].samples == 1152 * got[i].frames and got[i].sample_rate == 48000
+        assert all(media[at : at + 2] == b"\xff\xfa" for at in got[i].seek_offsets)
+
+
+def bitwise_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if crc >> 15 ^ b else 0)) & 0xFFFF
+    return crc
+
+
+def bits_of(raw):
+    return [b >> k & 1 for b in raw for k in range(7, -1, -1)]
+
+
+#: (header after the sync byte, bytes a frame, bits covered, allocation bits to set): Layer I mono, stereo and joint stereo with bound 8;
+#: Layer II mono at 44.1 kHz and 192 kbit/s (table of 30 subbands), with two subbands chosen; MPEG-2 Layer II stereo.
+CHECKED_FRAMES = [
+    (b"\xfe\x84\xc0", 256, 128, []), (b"\xfe\x84\x00", 256, 256, []), (b"\xfe\x84\x50", 256, 160, []),
+    (b"\xfc\xa0\xc0", 626, 44 + 36 + 14 + 4, [3, 4]), (b"\xf4\x84\x00", 384, 2 * 75 + 2, [2]),
+]
+
+
+@pytest.mark.parametrize(("head", "size", "covered", "chosen"), CHECKED_FRAMES)
+def test_audio_verifies_layers_one_and_two(head, size, covered, chosen):
+    head = b"\xff" + head
+    body = [0] * (8 * (size - 6))
+    for at in chosen:
+        body[at] = 1
+    crc = bitwise_crc(bits_of(head[2:]) + body[:covered])
+    frame = head + crc.to_bytes(2, "big") + bytes(int("".join(map(str, body[k : k + 8])), 2) for k in range(0, len(body), 8))
+    found = mpeg_audio.parse(frame * 5)
+    assert (found.frames, found.checks, found.failures, found.skipped) == (5, 5, 0, 0)
+    bent = bytearray(frame * 5)
+    bent[size + 6] ^= 0x80
+    assert mpeg_audio.parse(bytes(bent)).failures == 1
+
+
+def test_audio_reads_newer_tags_vbri_and_padding():
+    # 44.1 kHz at 128 kbit/s: 417 bytes, with padding 418.
+    plain_, padded_ = (b"\xff\xfb" + third + b"\xc0" + bytes(n - 4) for third, n in ((b"\x90", 417), (b"\x92", 418)))
+    vbri = bytearray(plain_)
+    vbri[36:62] = b"VBRI" + bytes(6) + (9999).to_bytes(4, "big") + (7).to_bytes(4, "big") + b"".join(n.to_bytes(2, "big") for n in (3, 2, 2, 2))
+    vbri[62:68] = b"".join(n.to_bytes(2, "big") for n in (10, 20, 30))
+    title = b"\x03" + "Name é".encode() + bytes(200)
+    frame = b"TIT2" + bytes([0, 0, len(title) >> 7, len(title) & 127]) + b"\x00\x00" + title
+    tag = b"ID3\x04\x00\x00" + bytes([0, 0, len(frame) >> 7, len(frame) & 127]) + frame
+    found = mpeg_audio.parse(tag + bytes(vbri) + plain_ + padded_ + padded_ + plain_)
+    assert found.tags == {"TIT2": "Name é"} and found.frames == 4 and found.skipped == 0
+    assert found.table["kind"] == "VBRI" and found.table["frames"] == 7 and found.table["toc"] == [20, 40, 60]
+    start = len(tag) + 417
+    assert found.offsets().tolist() == [start, start + 417, start + 835, start + 1253]
+    assert found.duration == 4 * 1152 / __import__("fractions").Fraction(44100)
+
+
 def test_schedule_reads_each_source_to_its_target(docs):
     sized = docs.withColumn("size", mixing.n_words(F.col("text")))
     goals = {r.source: r.quota for r in mixing.targets(sized).collect()}
