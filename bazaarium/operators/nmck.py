@@ -17,8 +17,9 @@ from bazaarium.functions import pricing
 def one_per_seller(offers: DataFrame) -> DataFrame:
     """Cheapest priced offer of each seller of a query, the first of equal ones; adds ``seller_key``."""
     keyed = offers.where("price > 0").withColumn("seller_key", pricing.seller_key(F.col("seller"), F.col("source")))
-    cheapest = F.row_number().over(W.partitionBy("query_id", "seller_key").orderBy("price", "pos"))
-    return keyed.withColumn("_n", cheapest).where("_n = 1").drop("_n")
+    whole = F.struct(*[F.col(c) for c in keyed.columns])
+    # Partial minima meet before the shuffle, so a large seller is no large group.
+    return keyed.groupBy("query_id", "seller_key").agg(F.min_by(whole, F.struct("price", "pos")).alias("_o")).select("_o.*")
 
 
 def selection(offers: DataFrame, preview: bool = False) -> DataFrame:

@@ -38,16 +38,27 @@ def group_stats(offers: DataFrame, status: DataFrame | None = None) -> DataFrame
     return status.join(shown, ["query_id", "source"], "left").withColumn("offers", F.coalesce("offers", F.lit(0)))
 
 
+def with_group(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """Rows with what is known of their group; ``facts`` has one row for each value of the keys, null among them.
+
+    Facts are aggregated first and joined back, so no task holds a group's rows.  They go by broadcast only where Spark finds
+    them small enough when it runs.
+    """
+    named = facts.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(named, on, "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def with_deal_score(offers: DataFrame, weights: pricing.DealWeights = pricing.DealWeights(), reviews: Column | None = None) -> DataFrame:
     """Add ``score``: z-scores are over all offers of the query, with the sample deviation, 1 where that is 0 or unknown.
 
     ``reviews`` is where the count comes from; by default the characteristics, as rankings have always had it.
     """
-    query = W.partitionBy("query_id")
-    sd = F.stddev_samp(F.col("price").cast("double")).over(query)
-    z = F.when(F.count("*").over(query) < 2, F.lit(0.0)).otherwise((F.col("price").cast("double") - F.avg(F.col("price").cast("double")).over(query)) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(sd))
+    price = F.col("price").cast("double")
+    facts = offers.groupBy("query_id").agg(F.count("*").alias("_n"), F.avg(price).alias("_mean"), F.stddev_samp(price).alias("_sd"))
+    z = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise((price - F.col("_mean")) / F.when(F.coalesce("_sd", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_sd")))
     count = reviews if reviews is not None else pricing.reviews_of(F.col("characteristics"))
-    return offers.withColumn("score", pricing.deal_score(z, F.col("rating"), count, weights))
+    return with_group(offers, facts, "query_id").withColumn("score", pricing.deal_score(z, F.col("rating"), count, weights)).drop("_n", "_mean", "_sd")
 
 
 def best_deals(offers: DataFrame, top: int = 10, **scoring) -> DataFrame:
@@ -93,8 +104,8 @@ def totals_by_source(offers: DataFrame) -> DataFrame:
 
 def dumping_flags(offers: DataFrame) -> DataFrame:
     """Priced offers with their (query, source) group's median and size, ``drop_pct`` and ``dumping``."""
-    group = W.partitionBy("query_id", "source")
-    sized = priced(offers).withColumn("group_median", F.median("price").over(group)).withColumn("group_size", F.count("*").over(group))
+    facts = priced(offers).groupBy("query_id", "source").agg(F.median("price").alias("group_median"), F.count("*").alias("group_size"))
+    sized = with_group(priced(offers), facts, "query_id", "source")
     drop = sized.withColumn("drop_pct", pricing.drop_pct(F.col("price").cast("double"), F.col("group_median")))
     return drop.withColumn("dumping", pricing.dumping(F.col("drop_pct"), F.col("group_size"), F.col("source")))
 
@@ -113,10 +124,7 @@ def for_region(offers: DataFrame, region: Column) -> DataFrame:
 
 
 def with_relevance(offers: DataFrame, query: str = "query") -> DataFrame:
-    """Offers with ``relevance`` where they have none; texts that recur are scored once.
-
-    The fuzzy score depends on query, name and characteristics alone, so distinct triples are scored and joined back.
-    """
+    """Offers with ``relevance`` where they have none; every row is scored, without a shuffle."""
     keep = F.col("relevance") if "relevance" in offers.columns else F.lit(None).cast("double")
     score = text.relevance(F.col(query), F.col("name"), F.col("characteristics"), F.col("rating"), F.col("reviews_count"))
     return offers.withColumn("relevance", F.coalesce(keep, score))

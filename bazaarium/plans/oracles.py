@@ -42,10 +42,6 @@ def _first(keys: str, columns: str, order: str = POS, where: str = "true", more:
 
 
 def _places(order: str, extra: str = "") -> str:
-    return f"SELECT query_id, place, {ID}{extra} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, {POS}) AS place FROM offers) WHERE place <= 20"
-
-
-def _all_places(order: str, extra: str = "") -> str:
     return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order}, {POS}) AS place, {ID}{extra} FROM offers"
 
 
@@ -108,9 +104,9 @@ ORACLES: dict[str, str] = {
     "sorted_by_relevance": _offers(_places("CASE WHEN l_orderkey % 3 <> 0 THEN l_partkey % 100 ELSE 0 END DESC, price")),
     "sorted_by_price": _offers(_places("price", ", 'up' AS way") + " UNION ALL " + _places("price DESC", ", 'down' AS way")),
     "sorted_by_reviews": _offers(_places("coalesce(reviews_count, 0) DESC", ", 'down' AS way") + " UNION ALL " + _places("coalesce(reviews_count, 0)", ", 'up' AS way")),
-    "places_by_relevance": _offers(_all_places("CASE WHEN l_orderkey % 3 <> 0 THEN l_partkey % 100 ELSE 0 END DESC, price")),
-    "places_by_price": _offers(_all_places("price", ", 'up' AS way") + " UNION ALL " + _all_places("price DESC", ", 'down' AS way")),
-    "places_by_reviews": _offers(_all_places("coalesce(reviews_count, 0) DESC", ", 'down' AS way") + " UNION ALL " + _all_places("coalesce(reviews_count, 0)", ", 'up' AS way")),
+    "places_by_relevance": _offers(_places("CASE WHEN l_orderkey % 3 <> 0 THEN l_partkey % 100 ELSE 0 END DESC, price")),
+    "places_by_price": _offers(_places("price", ", 'up' AS way") + " UNION ALL " + _places("price DESC", ", 'down' AS way")),
+    "places_by_reviews": _offers(_places("coalesce(reviews_count, 0) DESC", ", 'down' AS way") + " UNION ALL " + _places("coalesce(reviews_count, 0)", ", 'up' AS way")),
     "per_source_limit": _offers(f"SELECT query_id, source, {ID} FROM offers QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY {POS}) <= 10"),
     "selected_sources": _offers("SELECT source, count(*) AS offers FROM offers WHERE source = 'ozon' GROUP BY 1 UNION ALL SELECT source, count(*) FROM offers WHERE source IN ('wb', 'ozon', 'runet') GROUP BY 1"),
     "dedup_url": _offers(_first("query_id, url", f"query_id, url, {ID}")),
