@@ -59,6 +59,8 @@ EVIDENCE = 17.0
 PURITY = 0.9
 #: For each insult, words of clean documents that are landmarks too; and how like an insult a word is at least.
 CONTRASTS, LIKE = 6, 0.15
+#: Clean documents at most that such words are sought in.
+CONTRASTED = 3_000
 #: Words of a document that are likest to insults and learned from, those of them in a round, and the rounds.
 NEAREST, WORST, ROUNDS = 64, 8, 4
 #: Share of clean documents that may be labelled so wrongly.
@@ -528,7 +530,8 @@ def _table(src: DataFrame, machine: Machine) -> DataFrame:
                 at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
                 names, x = np.array(list(place), object), (k[at] @ machine.whiten).astype(np.float32)
                 cut = np.array(ends, np.int32)
-                lists = [pa.ListArray.from_arrays(cut * n, pa.array(v)) for n, v in ((1, names[at]), (1, like[at]), (x.shape[1], x.ravel()))]
+                columns = ((1, names[at], pa.string()), (1, like[at], pa.float32()), (x.shape[1], x.ravel(), pa.float32()))
+                lists = [pa.ListArray.from_arrays(cut * n, pa.array(v, kind)) for n, v, kind in columns]
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), *lists], ["toxic", "words", "likeness", "features"])
 
     return src.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>, likeness array<float>, features array<float>")
@@ -577,7 +580,7 @@ def fit(labelled: DataFrame) -> Machine | None:
     words = landmarks_of(src)
     if not words:
         return None
-    machine = Machine.of(words, [w for w in contrasts(src.where("toxic = 0"), Machine.of(words, [])) if w not in words])
+    machine = Machine.of(words, [w for w in contrasts(src.where("toxic = 0").orderBy(F.xxhash64("text")).limit(CONTRASTED), Machine.of(words, [])) if w not in words])
     table = written(_table(src, machine), "words")
     sizes = {r.toxic: r["count"] for r in src.groupBy("toxic").count().collect()}
     wrong = int(MISLABELLED * sizes[0])
