@@ -120,7 +120,8 @@ class Landmarks:
 
     def __post_init__(self):
         characters = sorted({c for w in self.words for c in w})
-        self.table = np.zeros(0x110000, np.uint16)
+        #: Codes by code point; all from the last on have none.
+        self.table = np.zeros(max(map(ord, characters)) + 2, np.uint16)
         self.table[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
         grid = np.zeros((len(self.words), LONGEST), np.int32)
         for n, w in enumerate(self.words):
@@ -133,13 +134,24 @@ class Landmarks:
         self.needed = np.array([np.ceil(NEEDED * sum(c not in BEGIN + END for c in w)) for w in self.words])
         self.letters = self.match.sum(axis=2)
         self.letters[self.table[[ord(c) for c in BEGIN + END if c in characters]]] = 0
+        #: at[c]: a bit for each place among a landmark's letters that has the character of code c.
+        plain = ["".join(c for c in w if c not in BEGIN + END) for w in self.words]
+        self.count = np.array([len(w) for w in plain])
+        self.at = np.zeros((len(self.match), len(plain)), np.uint32)
+        for n, w in enumerate(plain):
+            for i, c in enumerate(w):
+                self.at[self.table[ord(c)], n] |= np.uint32(1 << i)
+        #: A bit for each code; should there be over 64, some share one.
+        self.bits = np.where(self.table > 0, np.uint64(1) << (self.table % 64).astype(np.uint64), np.uint64(0))
+        self.bit_letters = np.zeros((64, len(self.words)), np.float32)
+        np.add.at(self.bit_letters, np.arange(1, len(self.letters)) % 64, self.letters[1:])
 
     def kernel(self, strings: list[str], first: int = 0, last: int | None = None) -> np.ndarray:
         """Kernel of each string with the landmarks from ``first`` to before ``last``, over the root of the string's kernel with itself.
 
         By dynamic programming over the strings' characters: ``tail[p]`` at a landmark's place sums the common subsequences of
-        p + 1 characters that end at or before it, weighted to the current places in both strings.  A string that lacks
-        over a quarter of a landmark's letters (NEEDED) is taken to have nothing of it.
+        p + 1 characters that end at or before it, weighted to the current places in both strings.  A string that has
+        less than NEEDED of a landmark's letters in order, whatever is between them, is taken to have nothing of it.
         """
         codes, sizes = self.coded(strings)
         n, width = codes.shape
@@ -147,6 +159,8 @@ class Landmarks:
         has[np.arange(n)[:, None], codes] = 1
         of, mark = np.nonzero(has @ self.letters[:, first:last] >= self.needed[first:last])
         mark = mark + first
+        keep = self.in_order(codes, of, mark) >= self.needed[mark]
+        of, mark = of[keep], mark[keep]
         out = np.zeros((n, len(self.words[first:last])))
         if not len(of):
             return out
@@ -176,13 +190,37 @@ class Landmarks:
         out[some] /= np.sqrt(_own_kernel(codes[some], whole[some]))[:, None]
         return out
 
+    def in_order(self, codes: np.ndarray, of: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Letters of the longest common subsequence of pairs of strings and landmarks, bit by bit at once."""
+        row = np.full(len(of), ~np.uint32(0))
+        for i in range(codes.shape[1]):
+            hit = row & self.at[codes[of, i], mark]
+            row = (row + hit) | (row - hit)
+        return self.count[mark] - np.bitwise_count(row & ((np.uint32(1) << self.count[mark].astype(np.uint32)) - np.uint32(1)))
+
     def coded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the strings' characters, 0 for those that no landmark has, and the strings' lengths."""
         sizes = np.array([len(s) for s in strings], np.int64)
         codes = np.zeros((len(strings), int(sizes.max(initial=0))), np.uint16)
-        codes[np.arange(codes.shape[1])[None, :] < sizes[:, None]] = self.table[np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)]
+        codes[np.arange(codes.shape[1])[None, :] < sizes[:, None]] = self.table[self.points("".join(strings))]
         return codes, sizes
 
+    def points(self, text: str) -> np.ndarray:
+        """Code points, those beyond the table as its last."""
+        return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(self.table) - 1)
+
+    def plausible(self, words: list[str], last: int) -> np.ndarray:
+        """Whether each word, none with a newline, has the letters that ``kernel`` needs for any of the landmarks before ``last``."""
+        text = "\n".join(words) + "\n"
+        raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.flatnonzero(raw == 10)
+        masks = np.bitwise_or.reduceat(self.bits[np.minimum(raw, len(self.table) - 1)], np.append(0, ends[:-1] + 1))
+        out = np.empty(len(words), bool)
+        for at in range(0, len(words), 1 << 15):
+            has = np.unpackbits(masks[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[at : at + (1 << 15)] = (has.astype(np.float32) @ self.bit_letters[:, :last] >= self.needed[:last]).any(axis=1)
+        return out
+
 
 def _own_kernel(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Kernel of each string with itself; characters that no landmark has count as one and the same."""
@@ -254,9 +292,9 @@ class Machine:
         starts = np.cumsum([0, *map(len, cut)])[:-1]
         return np.maximum.reduceat(out, starts, axis=0) if len(every) else out
 
-    def likeness(self, words: list[str]) -> np.ndarray:
-        """How like each word is to the insult it is likest to."""
-        return self.kernels(words)[:, : self.insults].max(axis=1)
+    def suspects(self, words: list[str]) -> list[str]:
+        """The words that may be like an insult at all."""
+        return [w for w, p in zip(words, self.landmarks.plausible(words, self.insults).tolist(), strict=True) if p] if words else []
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         """What each word adds to the margin of its sentence."""
@@ -288,6 +326,8 @@ class Scorer:
                     new.append(w)
                 else:
                     self.recent[w] = old
+        self.recent.update(dict.fromkeys(new, 0.0))
+        new = self.machine.suspects(new)
         self.recent.update(zip(new, self.machine.word_margins(new).tolist(), strict=True))
 
     def margins(self, texts: list[str]) -> list[float]:
@@ -491,11 +531,11 @@ def contrasts(clean: DataFrame, machine: Machine) -> list[str]:
         for batch in batches:
             for part in slices(batch):
                 each = [{w for s in sentences(t) for w in words_of(s)} for t in part.column("text").to_pylist()]
-                words = sorted(set().union(*each))
+                words = machine.suspects(sorted(set().union(*each)))
                 k = machine.kernels(words) if words else np.zeros((0, machine.insults))
                 place, nearest = {w: n for n, w in enumerate(words)}, Counter()
                 for own in each:
-                    at = np.array([place[w] for w in own], np.int64)
+                    at = np.array([place[w] for w in own if w in place], np.int64)
                     if len(at):
                         best = at[k[at].argmax(axis=0)]
                         nearest.update((m, words[i]) for m, i in enumerate(best) if k[i, m] > LIKE)
@@ -515,20 +555,17 @@ def _table(src: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 each = [sorted({w for s in sentences(t) for w in words_of(s)}) for t in part.column("text").to_pylist()]
-                place: dict[str, int] = {}
-                for words in each:
-                    for w in words:
-                        place.setdefault(w, len(place))
+                place = {w: n for n, w in enumerate(machine.suspects(sorted(set().union(*each))))}
                 k = machine.kernels(list(place)) if place else np.zeros((0, len(machine.own)), np.float32)
                 like = k[:, : machine.insults].max(axis=1, initial=0)
                 chosen, ends = [], [0]
                 for words in each:
-                    at = np.array([place[w] for w in words], np.int64)
+                    at = np.array([place[w] for w in words if w in place], np.int64)
                     at = at[like[at] > LIKE]
                     chosen.append(at[np.argsort(-like[at], kind="stable")[:NEAREST]])
                     ends.append(ends[-1] + len(chosen[-1]))
                 at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-                names, x = np.array(list(place), object), (k[at] @ machine.whiten).astype(np.float32)
+                names, x = np.array([*place, None], object)[:-1], (k[at] @ machine.whiten).astype(np.float32)
                 cut = np.array(ends, np.int32)
                 columns = ((1, names[at], pa.string()), (1, like[at], pa.float32()), (x.shape[1], x.ravel(), pa.float32()))
                 lists = [pa.ListArray.from_arrays(cut * n, pa.array(v, kind)) for n, v, kind in columns]
