@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarium.functions import variants
 from bazaarium.functions.numbers import decimal_price
 from bazaarium.functions.urls import absolute_image
 
@@ -26,18 +27,11 @@ def _text(node: Column, path: str) -> Column:
 def nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(``keep`` columns, node) of every node in a page's JSON-LD, to DEPTH levels; broken blocks give none.
 
-    Lists are gone through; of a node's values only those under NESTED keys.  Depth is fixed by the plan, so no level is
-    collected anywhere.
+    Lists are gone through; of a node's values only those under NESTED keys.
     """
     start = pages.select(*keep, F.explode(blocks(F.col(html))).alias("block")).select(*keep, F.try_parse_json("block").alias("node")).where("node IS NOT NULL")
-    level, out = start, start
-    for _ in range(DEPTH):
-        level.createOrReplaceTempView("_level")
-        columns = ", ".join(f"l.{c}" for c in keep)
-        keys = ", ".join(f"'{k}'" for k in NESTED)
-        level = level.sparkSession.sql(f"SELECT {columns}, e.value AS node FROM _level l, LATERAL variant_explode(l.node) e WHERE e.key IS NULL OR e.key IN ({keys})")
-        out = out.unionByName(level)
-    return out.where(F.schema_of_variant("node").startswith("OBJECT"))
+    found = variants.walk(start, list(keep), DEPTH, NESTED)
+    return found.where(variants.is_object(F.col("node"))).drop("path")
 
 
 def is_product(node: Column) -> Column:
@@ -58,9 +52,19 @@ def plain_price(node: Column) -> Column:
 
 
 def image(node: Column) -> Column:
-    """First picture of a node, given as text, list or object."""
-    paths = ("$.image", "$.image[0]", "$.image.contentUrl", "$.image.url", "$.image[0].contentUrl", "$.image[0].url")
-    return F.coalesce(*[absolute_image(_text(node, p)) for p in paths])
+    """First picture of a node, given as text, object or list of them, objects in one another to two levels.
+
+    Of an object the first of its link, content link, thumbnail and picture counts; of a list the first item that has one.
+    """
+    inner = ("", ".url", ".contentUrl", ".thumbnailUrl", ".image", ".url.url", ".image.url", ".image.contentUrl")
+    own = [absolute_image(_text(node, f"$.image{p}")) for p in inner]
+    listed = F.from_json(F.to_json(F.try_variant_get(node, "$.image", "variant")), "array<string>")
+
+    def of(item: Column) -> Column:
+        return F.coalesce(absolute_image(item), *[absolute_image(F.get_json_object(item, f"${p}")) for p in inner[1:]])
+
+    first = F.filter(F.transform(listed, of), lambda u: u.isNotNull())
+    return F.coalesce(*own, F.get(first, F.lit(0)))
 
 
 def brand(node: Column) -> Column:

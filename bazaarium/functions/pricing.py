@@ -87,5 +87,14 @@ def plausible(price: Column, most: float = 5_000_000) -> Column:
 
 def delta_arrow(pct: Column) -> Column:
     """A change in percent with an arrow."""
-    mark = F.when(pct < 0, "↓").when(pct > 0, "↑").otherwise("→")
+    mark = F.when(pct < 0, "↓").when(pct > 0, "↑").otherwise("=")
     return F.concat(mark, F.lit(" "), F.format_number(F.abs(pct), 1), F.lit("%"))
+
+
+def time_ago(ts: Column, now: Column) -> Column:
+    """How long ago a moment was, in minutes, hours or days."""
+    minutes = F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 60_000_000)
+    hours = F.floor(minutes / 60)
+    said = F.when(minutes < 1, "только что").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" мин назад")))
+    said = said.when(hours < 24, F.concat(hours.cast("string"), F.lit(" ч назад"))).otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit(" дн назад")))
+    return F.when(ts.isNull(), "никогда").otherwise(said)

@@ -117,3 +117,20 @@ def owner_key(user: Column, anonymous: Column) -> Column:
     """Who owns a watch: a user, or an anonymous key of 8 to 128 characters; null if neither."""
     ok = F.length(anonymous).between(8, 128)
     return F.when(user.isNotNull(), F.concat(F.lit("user-"), user)).when(ok, F.concat(F.lit("anon-"), anonymous))
+
+
+def _feedback_host(key: Column, name: str) -> Column:
+    number = F.lpad(F.split(key, "/", 2)[0], 2, "0")
+    return F.concat(F.lit(f"https://{name}"), number, F.lit(".wbbasket.ru/"), F.split(key, "/", 2)[1])
+
+
+def feedback_photo(key: Column) -> Column:
+    """struct(mini, full, jpg) of the links to a review's photo kept under ``shard/name``."""
+    base = _feedback_host(key, "feedback-")
+    return F.struct(*[F.concat(base, F.lit(f"/{file}")).alias(k) for k, file in (("mini", "ms.webp"), ("full", "fs.webp"), ("jpg", "fs.jpg"))])
+
+
+def feedback_video(key: Column) -> Column:
+    """struct(preview, hls) of the links to a review's video kept under ``shard/name``."""
+    base = _feedback_host(key, "videofeedback")
+    return F.struct(F.concat(base, F.lit("/preview.webp")).alias("preview"), F.concat(base, F.lit("/index.m3u8")).alias("hls"))

@@ -96,6 +96,24 @@ def delete(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def with_alerts(watches: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Each watch with the number of its alerts, of the unread ones, and when the last was made."""
+    found = alerts.groupBy(F.col("watch_id").alias("id")).agg(F.count("*").alias("alerts"), F.count_if(F.col("read_at").isNull()).alias("unread"), F.max("created_at").alias("last_alert_at"))
+    return watches.join(found, "id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0))).withColumn("unread", F.coalesce("unread", F.lit(0)))
+
+
+def delete_watches(watches: DataFrame, alerts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Watches without those gone (id), and alerts without those of watches gone."""
+    return delete(watches, gone, "id"), delete(alerts, gone.select(F.col("id").alias("watch_id")), "watch_id")
+
+
+def favorites_of(users: DataFrame, favorites: DataFrame) -> DataFrame:
+    """(user_id, favorites) of each user (user_id), newest first; none is an empty list."""
+    item = F.struct("created_at", "source", "item_id", "name", "price")
+    found = favorites.groupBy("user_id").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("favorites"))
+    return users.select("user_id").join(found, "user_id", "left").withColumn("favorites", F.coalesce("favorites", F.array().cast(found.schema["favorites"].dataType)))
+
+
 def recent_queries(history: DataFrame, most: int = 12) -> DataFrame:
     """Each owner's newest queries, one of each whatever the case."""
     once = history.withColumn("_n", F.row_number().over(W.partitionBy("owner_key", F.lower("query")).orderBy(F.desc("ts"), "query"))).where("_n = 1").drop("_n")

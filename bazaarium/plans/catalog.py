@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bazaarium.functions import numbers, pricing, text, urls
 from bazaarium.operators import facets, history, nmck, normalize, offers, reviews, watches
-from bazaarium.plans import bridge, captured, streamed
+from bazaarium.plans import bridge, captured, payloads, streamed
 from bazaarium.streaming import buckets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,3 +463,6 @@ def parsed_pages(spark, sf):
 @query
 def parsed_cards(spark, sf):
     return captured.shopping_cards(spark, sf)
+
+
+QUERIES |= payloads.QUERIES

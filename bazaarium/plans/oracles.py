@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bazaarium import values as V
+from bazaarium.plans import payloads
 from bazaarium.plans.bridge import CHECKS_SQL, OFFERS_SQL, POINTS_SQL, POS, QUERIES_SQL, REVIEWS_SQL, WATCHES_SQL
 
 ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -166,3 +167,5 @@ ORACLES: dict[str, str] = {
     "parsed_pages": r"SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld.json[^>]*>')) AS blocks, contains(lower(html), '<title') AS titled, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages",
     "parsed_cards": "SELECT p_partkey, CAST(floor(p_retailprice) AS DOUBLE) AS price, 1 + (p_partkey % 40) / CAST(10 AS DOUBLE) AS rating, p_size * 100 AS reviews_count, 'Samsung' AS brand, (8 * (p_partkey % 3 + 1)) || ' ГБ' AS ram FROM part WHERE p_retailprice >= 100",
 }
+
+ORACLES |= payloads.ORACLES

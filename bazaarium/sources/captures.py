@@ -6,12 +6,15 @@ done here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarium.functions import jsonld, numbers, urls
 from bazaarium.functions.pricing import plausible
+from bazaarium.operators.offers import dedup_listing
 
 STUB = "struct<nm: string, id: string, sku: string, name: string, brand: string, url: string, image: string, price_rub: double, price: double, sizes: array<struct<price: struct<total: double, product: double, basic: double>>>, supplier: string, rating: double, feedbacks: int>"
 PAGE = f"hydration array<{STUB}>, jsonld array<{STUB}>, dom array<{STUB}>"
@@ -144,3 +147,29 @@ def runet_offers(shopping: DataFrame, organic: DataFrame) -> DataFrame:
     """Both kinds of offers by name, shopping cards before others."""
     common = [c for c in shopping.columns if c in organic.columns]
     return shopping.select(*common, F.lit(0).alias("priority")).unionByName(organic.select(*common, F.lit(1).alias("priority")))
+
+
+def runet_scan(shopping: DataFrame, organic: DataFrame, limit: int) -> DataFrame:
+    """Both kinds of offers of each query: the first of each shop and name, shopping cards first, ``limit`` of a query.
+
+    At most three times ``limit`` organic offers of a query are looked at.  Needs query_id and pos.
+    """
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("pos"))
+    candidates = organic.withColumn("_n", place).where(F.col("_n") <= 3 * limit).drop("_n")
+    once = dedup_listing(runet_offers(shopping, candidates), F.col("priority"))
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("priority", "pos"))
+    return once.withColumn("place", order).where(F.col("place") <= limit)
+
+
+#: Readers by the kind of payload; callers add their own.
+READERS: dict[str, Callable[..., DataFrame]] = {
+    "catalogue": catalogue_stubs, "cards": cards, "feedbacks": feedbacks, "widgets": widget_stubs, "product_pages": page_offers,
+    "market_pages": market_offers, "shopping": shopping_offers, "organic": organic_results,
+}
+
+
+def read(kind: str, captured: DataFrame, *args, **options) -> DataFrame:
+    """Rows of a payload kind by its registered reader."""
+    if kind not in READERS:
+        raise ValueError(f"no reader for {kind}; there are {', '.join(sorted(READERS))}")
+    return READERS[kind](captured, *args, **options)

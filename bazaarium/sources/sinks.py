@@ -12,9 +12,15 @@ def write_snapshot(df: DataFrame, path: str, now: Column, fresh_s: int, stale_s:
     stamped.write.mode("append").parquet(path)
 
 
-def read_snapshot(spark: SparkSession, path: str, now: Column, stale: bool = False) -> DataFrame:
-    """Rows still fresh, or with ``stale`` those that may still be served."""
-    return spark.read.parquet(path).where(F.col("stale_until" if stale else "expires_at") > now).drop("expires_at", "stale_until")
+def read_snapshot(spark: SparkSession, path: str, now: Column, stale: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows still fresh, or with ``stale`` those that may still be served; of each of ``keys`` those written last.
+
+    Without ``keys`` the last write of all counts.
+    """
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(*keys).agg(F.max("expires_at").alias("expires_at"))
+    kept = rows.join(last, [*keys, "expires_at"], "left_semi")
+    return kept.where(F.col("stale_until" if stale else "expires_at") > now).drop("expires_at", "stale_until")
 
 
 def write_sheets(chosen: DataFrame, every: DataFrame, path: str) -> None:

@@ -119,3 +119,16 @@ DUMPING_LEAST, DUMPING_DROP, DUMPING_DROP_RUNET = 5, 30, 35
 # Lead-ins of a picture's description, and marks around it.
 IMAGE_LEADS = ("это ", "вижу ", "на фото ", "на изображении ", "Это ", "Вижу ", "На фото ", "На изображении ", "Запрос: ", "Поисковый запрос: ", "запрос: ")
 IMAGE_MARKS = "\"'«»‹›„‟ .,!?:;—–"
+
+# Names and values of page controls that are no characteristics, texts that are no reviews, and beginnings of
+# the names of widgets that hold reviews.
+CONTROL_NAMES = (
+    "подробнее", "все характеристики", "в наличии", "о товаре", "в корзине", "ozon россия", "магазин теперь здесь",
+    "перейти", "купить", "в корзину", "добавить",
+)
+CONTROL_VALUES = ("перейти", "купить", "подписаться", "в корзину", "смотреть")
+CONTROL_TEXTS = (
+    "перейти", "купить", "в корзину", "в корзине", "добавить", "оформить", "подписаться", "смотреть", "подробнее",
+    "написать отзыв", "все отзывы", "оплатить", "выбрать", "сортировка", "фильтр",
+)
+REVIEW_WIDGETS = ("weblistreviews", "webreviewlist", "weblistreviewsv2", "reviewshelfpaginator", "weblistcomments")
