@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bazaarium import values as V
+from bazaarium.operators.normalize import TERMS
 from bazaarium.plans import payloads
 from bazaarium.plans.bridge import CHECKS_SQL, OFFERS_SQL, POINTS_SQL, POS, QUERIES_SQL, REVIEWS_SQL, WATCHES_SQL
 
@@ -168,4 +169,56 @@ ORACLES: dict[str, str] = {
     "parsed_cards": "SELECT p_partkey, CAST(floor(p_retailprice) AS DOUBLE) AS price, 1 + (p_partkey % 40) / CAST(10 AS DOUBLE) AS rating, p_size * 100 AS reviews_count, 'Samsung' AS brand, (8 * (p_partkey % 3 + 1)) || ' ГБ' AS ram FROM part WHERE p_retailprice >= 100",
 }
 
+_PARTS = rf"list_filter(list_transform(regexp_split_to_array(lower(trim(raw)), {_q(V.CLARIFY_SPLIT)}), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def _tells(part: str) -> str:
+    """Whether a half has a word that is no specification and is no brand alone."""
+    words = rf"list_filter(regexp_split_to_array({part}, '\s+'), lambda w: w <> '' AND NOT regexp_matches(w, {_q(V.CLARIFY_SPEC)}))"
+    return f"len({words}) > 0 AND NOT list_contains([{', '.join(map(_q, V.CLARIFY_BRANDS))}], {part})"
+
+
+ORACLES["clarified_queries"] = _with(
+    QUERIES_SQL,
+    f"p AS (SELECT query_id, raw, {_PARTS} AS parts FROM queries)",
+    f"h AS (SELECT query_id, raw, parts[1] AS a, parts[2] AS b FROM p WHERE len(parts) >= 2 AND length(lower(trim(raw))) >= 5 AND {_tells('parts[1]')} AND {_tells('parts[2]')})",
+    body="SELECT query_id, 1 AS number, upper(substr(a, 1, 1)) || substr(a, 2) AS label, 'Искать только «' || a || '»' AS text, a AS query FROM h UNION ALL SELECT query_id, 2, upper(substr(b, 1, 1)) || substr(b, 2), 'Искать только «' || b || '»', b FROM h UNION ALL SELECT query_id, 3, 'Искать как написано', 'Искать «' || raw || '» по всему каталогу', raw FROM h",
+)
+
+
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts: a fold over the first's characters keeps a row of the table."""
+    cell = f"list_append(done, CASE WHEN substr({b}, j[1], 1) = chr(c[1]) THEN row[j[1]] + 1 ELSE greatest(done[j[1]], row[j[1] + 1]) END)"
+    inner = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda x: [CAST(x AS INT)]), lambda done, j: {cell}, [0])"
+    return f"list_reduce(list_transform(list_filter(string_split({a}, ''), lambda x: x <> ''), lambda x: [unicode(x)]), lambda row, c: {inner}, list_resize([0], length({b}) + 1, 0))[length({b}) + 1]"
+
+
+_TERMS = ", ".join(f"({_q(t)}, {i})" for i, t in enumerate(TERMS))
+ORACLES["typo_corrections"] = _with(
+    QUERIES_SQL,
+    f"tokens AS (SELECT DISTINCT unnest(regexp_split_to_array({CLEANED}, '\\s+')) AS token FROM queries)",
+    f"terms(term, place) AS (VALUES {_TERMS})",
+    f"rated AS (SELECT token, term, place, CAST(200 AS DOUBLE) * ({_lcs('token', 'term')}) / (length(token) + length(term)) AS ratio FROM tokens, terms WHERE length(token) >= {V.TYPO_LEAST_CHARS} AND NOT regexp_full_match(token, '\\d+') AND 200.0 * least(length(token), length(term)) >= {V.TYPO_CUTOFF} * (length(token) + length(term)))",
+    body=f"SELECT token, term AS fixed, round(ratio, 4) AS ratio FROM rated WHERE ratio >= {V.TYPO_CUTOFF} QUALIFY row_number() OVER (PARTITION BY token ORDER BY ratio DESC, place) = 1",
+)
+
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(%s, '\s+'), lambda w: w <> ''))"
+
+
+def _tokens(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), '[a-zа-яё0-9]+'), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w))"
+
+
+_TELLING = any(word in "тип" for word in V.TELLING_KEYS)
+ORACLES["relevance"] = _with(
+    f"o AS (SELECT p_partkey, p_name || ' pro ' || p_size AS q, concat_ws(' ', p_name, p_brand, p_type, p_size{', p_type' if _TELLING else ''}) AS t, (p_partkey % 41) / CAST(10 AS DOUBLE) + 1 AS rating, p_partkey % 5000 AS reviews FROM part)",
+    f"w AS (SELECT *, {_WORDS % 'q'} AS wa, {_WORDS % 't'} AS wb, {_tokens('q')} AS tokens, {_tokens('t')} AS hay FROM o)",
+    "s AS (SELECT *, array_to_string(list_sort(list_intersect(wa, wb)), ' ') AS shared, array_to_string(list_sort(list_filter(wa, lambda x: NOT list_contains(wb, x))), ' ') AS a, array_to_string(list_sort(list_filter(wb, lambda x: NOT list_contains(wa, x))), ' ') AS b FROM w)",
+    "n AS (SELECT *, length(shared) AS s, length(a) AS la, length(b) AS lb, CASE WHEN shared = '' THEN 0 ELSE 1 END AS gap FROM s)",
+    f"r AS (SELECT *, 100 - CAST(100 AS DOUBLE) * (la + lb - 2 * ({_lcs('a', 'b')})) / (2 * (s + gap) + la + lb) AS whole, 100 - CAST(100 AS DOUBLE) * (gap + la) / (s + s + gap + la) AS with_a, 100 - CAST(100 AS DOUBLE) * (gap + lb) / (s + s + gap + lb) AS with_b FROM n)",
+    "base AS (SELECT *, CASE WHEN s > 0 AND (la = 0 OR lb = 0) THEN 100 WHEN s = 0 THEN whole ELSE greatest(whole, with_a, with_b) END AS base FROM r)",
+    f"total AS (SELECT p_partkey, CASE WHEN len(tokens) = 0 THEN 0 ELSE round(greatest(0, least(100, base + least(len(list_filter(tokens, lambda w: regexp_matches(w, {_q(V.SPEC_PATTERN)}) AND list_contains(hay, w))) * 8.0, 25.0) + CASE WHEN base < 30 THEN 0 ELSE least(CAST(1 AS DOUBLE), log10(reviews + CAST(1 AS DOUBLE)) * rating / 15) * 10 * base / 100 END)), 1) END AS score FROM base)",
+    body="SELECT p_partkey, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS badge FROM total",
+)
+
 ORACLES |= payloads.ORACLES

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarium.plans import bridge
+from bazaarium.session import shared_dir
 from bazaarium.streaming import streams
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/bazaarium').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _run(found: DataFrame, mode: str = "append") -> DataFrame:

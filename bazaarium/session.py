@@ -11,3 +11,14 @@ def get_spark(app: str = "bazaarium", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A local master, as in tests, may do without that setting; elsewhere its lack is an error, as files would be lost.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "file:///tmp/checkpoints/bazaarium").rstrip("/")
