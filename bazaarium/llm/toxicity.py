@@ -94,9 +94,10 @@ def sentences(text: str) -> list[list[str]]:
 
 def words_of(sentence: list[str]) -> list[str]:
     """A sentence's words, its short neighbours joined by a space, and runs of three or more single characters joined."""
-    out = sentence + [f"{a} {b}" for a, b in zip(sentence, sentence[1:], strict=False) if len(a) + len(b) <= PAIR_CHARS]
+    sizes = list(map(len, sentence))
+    out = sentence + [f"{a} {b}" for a, b, m, n in zip(sentence, sentence[1:], sizes, sizes[1:], strict=False) if m + n <= PAIR_CHARS]
     run: list[str] = []
-    for w in [*sentence, "  "] if any(len(w) == 1 for w in sentence) else []:
+    for w in [*sentence, "  "] if 1 in sizes else []:
         if len(w) == 1:
             run.append(w)
         else:
@@ -210,15 +211,24 @@ class Landmarks:
         return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(self.table) - 1)
 
     def plausible(self, words: list[str], last: int) -> np.ndarray:
-        """Whether each word, none with a newline, has the letters that ``kernel`` needs for any of the landmarks before ``last``."""
-        text = "\n".join(words) + "\n"
-        raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        """Whether each word, none with a newline, has the letters in order that ``kernel`` needs for any landmark before ``last``."""
+        raw = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le"), np.uint32)
         ends = np.flatnonzero(raw == 10)
-        masks = np.bitwise_or.reduceat(self.bits[np.minimum(raw, len(self.table) - 1)], np.append(0, ends[:-1] + 1))
-        out = np.empty(len(words), bool)
+        starts = np.append(0, ends[:-1] + 1)
+        masks, sizes = np.bitwise_or.reduceat(self.bits[np.minimum(raw, len(self.table) - 1)], starts), ends - starts
+        out = np.zeros(len(words), bool)
         for at in range(0, len(words), 1 << 15):
             has = np.unpackbits(masks[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            out[at : at + (1 << 15)] = (has.astype(np.float32) @ self.bit_letters[:, :last] >= self.needed[:last]).any(axis=1)
+            of, mark = np.nonzero(has.astype(np.float32) @ self.bit_letters[:, :last] >= self.needed[:last])
+            of += at
+            # Only a part of a long word is seen at once, so its letters alone rule it out.
+            long = sizes[of] > VIEW
+            out[of[long]] = True
+            of, mark = of[~long], mark[~long]
+            some, place = np.unique(of, return_inverse=True)
+            if len(some):
+                codes, _ = self.coded([words[i] for i in some])
+                out[of[self.in_order(codes, place, mark) >= self.needed[mark]]] = True
         return out
 
 
@@ -318,24 +328,20 @@ class Scorer:
     def _learn(self, words: set[str]) -> None:
         if len(self.recent) > REMEMBERED:
             self.older, self.recent = self.recent, {}
-        new = []
-        for w in words:
-            if w not in self.recent:
-                old = self.older.get(w)
-                if old is None:
-                    new.append(w)
-                else:
-                    self.recent[w] = old
+        new = words.difference(self.recent)
+        known = [w for w in new if w in self.older]
+        self.recent.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new = list(new.difference(known))
         self.recent.update(dict.fromkeys(new, 0.0))
         new = self.machine.suspects(new)
         self.recent.update(zip(new, self.machine.word_margins(new).tolist(), strict=True))
 
     def margins(self, texts: list[str]) -> list[float]:
         """Margin of each text's worst sentence; that of no words for a text without any."""
-        each = [[words_of(s) for s in sentences(t)] for t in texts]
-        self._learn({w for found in each for s in found for w in s})
+        each = [{w for s in sentences(t) for w in words_of(s)} for t in texts]
+        self._learn(set().union(*each))
         value, bias = self.recent.__getitem__, self.machine.bias
-        return [bias + max((max(map(value, s)) for s in found), default=0.0) for found in each]
+        return [bias + max(map(value, words), default=0.0) for words in each]
 
 
 def pick_landmarks(evidence: dict[str, float], words: dict[str, int], least: int, most: int = LANDMARKS) -> list[str]:
@@ -617,7 +623,7 @@ def fit(labelled: DataFrame) -> Machine | None:
     words = landmarks_of(src)
     if not words:
         return None
-    machine = Machine.of(words, [w for w in contrasts(src.where("toxic = 0").orderBy(F.xxhash64("text")).limit(CONTRASTED), Machine.of(words, [])) if w not in words])
+    machine = Machine.of(words, [w for w in contrasts(src.where("toxic = 0").orderBy(F.xxhash64("text")).limit(CONTRASTED).repartition(16), Machine.of(words, [])) if w not in words])
     table = written(_table(src, machine), "words")
     sizes = {r.toxic: r["count"] for r in src.groupBy("toxic").count().collect()}
     wrong = int(MISLABELLED * sizes[0])
