@@ -39,6 +39,13 @@ def group_stats(spark, sf):
     return found.select("query_id", "source", "offers", F.col("min_price").cast("double").alias("min_price"), _d("median_price", 3))
 
 
+@query
+def group_stats_shown(spark, sf):
+    """Averages and medians as shown, halves to even."""
+    found = offers.group_stats(bridge.offers(spark, sf))
+    return found.select("query_id", "source", F.col("avg_price").cast("double").alias("avg_price"), F.col("median_shown").cast("double").alias("median_shown"))
+
+
 @query
 def group_means(spark, sf):
     found = bridge.offers(spark, sf).groupBy("query_id", "source").agg((F.sum("price").cast("double") / F.count("price")).alias("mean_price"))
@@ -190,6 +197,12 @@ def nmck_statistics(spark, sf):
     return found.select("query_id", "n_offers", _d("mean", 4), _d("stdev", 4), _d("cv_pct", 4), "homogeneous", F.array_join("sources_used", "|").alias("sources_used"))
 
 
+@query
+def nmck_statistics_rounded(spark, sf):
+    found = nmck.statistics(bridge.offers(spark, sf))
+    return found.select("query_id", "n_offers", _d("mean", 2), _d("stdev", 2), _d("cv_pct", 2), "homogeneous")
+
+
 @query
 def nmck_sheet_chosen(spark, sf):
     return nmck.sheets(bridge.offers(spark, sf), 3)[0].select("query_id", "number", "source_label", "seller", F.col("price").cast("double").alias("price"), "n_offers")

@@ -90,6 +90,7 @@ _BASE = f"'https://basket-' || ({_SHARD}) || '.wbbasket.ru/vol' || {_VOLUME} ||
 
 ORACLES: dict[str, str] = {
     "group_stats": _offers(f"SELECT query_id, source, count(*) AS offers, CAST(min(price) AS DOUBLE) AS min_price, round(median({P}), 3) AS median_price FROM offers GROUP BY 1, 2"),
+    "group_stats_shown": _offers(f"SELECT query_id, source, CAST(round_even(CAST(CAST(sum(price) AS DOUBLE) / count(*) AS DECIMAL(20,6)), 2) AS DOUBLE) AS avg_price, (t // 10 + CASE WHEN t % 10 > 5 OR (t % 10 = 5 AND t // 10 % 2 = 1) THEN 1 ELSE 0 END) / CAST(100 AS DOUBLE) AS median_shown FROM (SELECT query_id, source, price, CAST(round(median({P}) OVER (PARTITION BY query_id, source) * 1000) AS BIGINT) AS t FROM offers) GROUP BY 1, 2, t"),
     "group_means": _offers(f"SELECT query_id, source, CAST(sum(price) AS DOUBLE) / count(*) AS mean_price FROM offers GROUP BY 1, 2"),
     "totals_by_source": _offers(f"SELECT query_id, source, count(*) AS offers, CAST(min(price) AS DOUBLE) AS min_price, CAST(sum(price) AS DOUBLE) / count(*) AS mean_price FROM offers GROUP BY GROUPING SETS ((query_id, source), (query_id))"),
     "best_deals": _deals(-0.40, "0", 10, f"query_id, source, item_id, {P} AS price"),
@@ -120,6 +121,7 @@ ORACLES: dict[str, str] = {
         f"SELECT query_id, count(*) AS n_offers, round(avg({P}), 4) AS mean, round(stddev_samp({P}), 4) AS stdev, round(stddev_samp({P}) / avg({P}) * 100, 4) AS cv_pct, stddev_samp({P}) / avg({P}) * 100 <= 33 AS homogeneous, string_agg(seller, '|' ORDER BY number) AS sources_used FROM chosen GROUP BY 1 HAVING count(*) >= 3",
         NMCK % "nullif(rating, 0)",
     ),
+    "nmck_statistics_rounded": _offers(f"SELECT query_id, count(*) AS n_offers, round(avg({P}), 2) AS mean, round(stddev_samp({P}), 2) AS stdev, round(stddev_samp({P}) / avg({P}) * 100, 2) AS cv_pct, stddev_samp({P}) / avg({P}) * 100 <= 33 AS homogeneous FROM chosen GROUP BY 1 HAVING count(*) >= 3", NMCK % "rating"),
     "nmck_sheet_chosen": _offers(f"SELECT query_id, number, list_extract(map_extract({LABELS}, source), 1) AS source_label, seller, {P} AS price, count(*) OVER (PARTITION BY query_id) AS n_offers FROM chosen", NMCK % "rating"),
     "nmck_sheet_all": _offers(f"SELECT query_id, source_label, seller, {P} AS price, row_number() OVER (PARTITION BY query_id ORDER BY source_label, price, {ID}, price) AS number FROM (SELECT *, list_extract(map_extract({LABELS}, source), 1) AS source_label FROM offers)"),
     "facets_builtin": _offers(
