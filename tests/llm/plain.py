@@ -53,6 +53,46 @@ def lines_kept(docs, chunks, least_lines=2):
     return out
 
 
+def passages_kept(docs, chunks, least_words=50):
+    """[(doc_id, text, lines removed)]: chunks of two lines or more seen before go, and runs of lines seen before with over 50 words.
+
+    A line counts as seen before if it is in such a chunk, in a pair of neighbouring lines seen before, or long itself and
+    seen before.  Ids are distinct.
+    """
+    words = lambda line: len(WORD.findall(line))
+
+    def units(text):
+        at = 0
+        for chunk in chunks(text):
+            if len(chunk) > 1:
+                yield "chunk", at, len(chunk), "\n".join(chunk)
+            at += len(chunk)
+        lines = text.split("\n")
+        for n, line in enumerate(lines):
+            if n + 1 < len(lines):
+                yield "pair", n, 2, f"{line}\n{lines[n + 1]}"
+            if words(line) > least_words:
+                yield "line", n, 1, line
+
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        lines, gone, fine = (text or "").split("\n"), set(), set()
+        for kind, at, n, unit in units(text or ""):
+            if (kind, unit) in seen:
+                (gone if kind == "chunk" else fine).update(range(at, at + n))
+            seen.add((kind, unit))
+        run = []
+        for n in range(len(lines) + 1):
+            if n in fine or n in gone:
+                run.append(n)
+            else:
+                if any(x in fine for x in run) and sum(words(lines[x]) for x in run) > least_words:
+                    gone.update(run)
+                run = []
+        out[i] = (i, "\n".join(x for n, x in enumerate(lines) if n not in gone) if gone else text, len(gone))
+    return [out[i] for i, _ in docs]
+
+
 class Pieces:
     """Unigram search over whole texts with a dictionary of pieces."""
 

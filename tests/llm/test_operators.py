@@ -12,6 +12,8 @@ import pytest
 from conftest import CLASHING, ROWS, SF
 from pyspark.sql import functions as F
 
+from test_near_copies import kept
+
 import corpus_pipeline
 from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, queries, sentencepiece_unigram, simhash, sst, token_counts, toxicity
 
@@ -363,10 +365,10 @@ def test_pipeline_equals_plain_version(spark, docs):
     known = [language_id.predicted(model, [t or ""]) for _, t, _ in rows]
     rows = [r for r, (k, p) in zip(rows, known, strict=True) if k[0] != "und" and p[0] >= corpus_pipeline.LEAST_PROBABILITY]
     words = lambda t: len(plain.WORD.findall(t or ""))
-    less = plain.lines_kept([r[:2] for r in rows], line_dedup.chunks)
-    rows = [(i, t, s) for (i, t, gone), (_, old, s) in zip(less, rows, strict=True) if not gone or 2 * words(t) >= words(old)]
-    groups = plain.near_groups([r[:2] for r in rows])
-    rows = [r for r in rows if groups[r[0]][1] == r[0]]
+    less = plain.passages_kept([r[:2] for r in rows], line_dedup.chunks)
+    rows = [(i, t, s) for (i, t, gone), (_, _, s) in zip(less, rows, strict=True) if not gone or words(t)]
+    staying = {i for i, _ in kept([r[:2] for r in rows])}
+    rows = [r for r in rows if r[0] in staying]
     con = duckdb.connect()
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
