@@ -81,10 +81,13 @@ def synonym_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lemma string, synonym string, group_place int")
 
 
-def synonym_alternates(queries: DataFrame, column: str = "normalized", most: int = 3) -> DataFrame:
-    """(query_id, alternate, note, number) of each query: one word swapped for a synonym at a time, the first ``most``."""
+def synonym_alternates(queries: DataFrame, column: str = "normalized", most: int = 3, lemmatise: Callable[[Column], Column] = lemma) -> DataFrame:
+    """(query_id, alternate, note, number) of each query: one word swapped for a synonym at a time, the first ``most``.
+
+    ``lemmatise`` may be any column function that gives a word's dictionary form; the default knows the forms in FORMS.
+    """
     tokens = queries.select("query_id", F.col(column).alias("_whole"), text.split_words(F.col(column)).alias("_all"), F.posexplode(text.split_words(F.col(column))).alias("place", "token"))
-    joined = tokens.withColumn("lemma", lemma(F.col("token"))).join(F.broadcast(synonym_table(queries.sparkSession)), "lemma")  # a fixed table
+    joined = tokens.withColumn("lemma", lemmatise(F.col("token"))).join(F.broadcast(synonym_table(queries.sparkSession)), "lemma")  # a fixed table
     swapped = F.array_join(F.transform("_all", lambda w, i: F.when(i == F.col("place"), F.col("synonym")).otherwise(w)), " ")
     made = joined.select("query_id", "place", "group_place", swapped.alias("alternate"), F.concat(F.lit("синоним: "), F.col("token"), F.lit(" → "), F.col("synonym")).alias("note"), "_whole").where("alternate <> _whole")
     once = made.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "alternate").orderBy("place", "group_place"))).where("_n = 1")
@@ -92,10 +95,11 @@ def synonym_alternates(queries: DataFrame, column: str = "normalized", most: int
     return once.withColumn("number", F.row_number().over(order)).where(F.col("number") <= most).select("query_id", "alternate", "note", "number")
 
 
-def normalized(queries: DataFrame, fix: bool = True, spelling: Callable[[Column], Column] | None = None, compose: bool = True) -> DataFrame:
+def normalized(queries: DataFrame, fix: bool = True, spelling: Callable[[Column], Column] | None = None, compose: bool = True, lemmatise: Callable[[Column], Column] = lemma) -> DataFrame:
     """(query_id, raw, normalized, expansions, alternates) of (query_id, raw).
 
-    Without ``fix`` texts are only cleaned.  ``spelling`` may be any column function that corrects a text.
+    Without ``fix`` texts are only cleaned.  ``spelling`` may be any column function that corrects a text,
+    ``lemmatise`` one that gives a word's dictionary form.
     """
     cleaned = queries.select("query_id", "raw", text.clean(F.col("raw"), compose).alias("cleaned"))
     empty = F.array().cast("array<string>")
@@ -109,7 +113,7 @@ def normalized(queries: DataFrame, fix: bool = True, spelling: Callable[[Column]
         return F.when(F.col(a) != F.col(b), F.concat(F.lit(f"{word}: «"), F.col(a), F.lit("» → «"), F.col(b), F.lit("»")))
 
     said = F.filter(F.array(note("опечатка", "fixed", "spelled"), note("перевод", "spelled", "normalized")), lambda n: n.isNotNull())
-    found = synonym_alternates(fixed).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "alternate", "note"))).alias("s"))
+    found = synonym_alternates(fixed, lemmatise=lemmatise).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "alternate", "note"))).alias("s"))
     out = fixed.join(found, "query_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<number: int, alternate: string, note: string>>")))
     return out.select("query_id", "raw", "normalized", F.concat("notes", said, F.transform("s", lambda x: x["note"])).alias("expansions"), F.transform("s", lambda x: x["alternate"]).alias("alternates"))
 

@@ -49,6 +49,13 @@ def long_enough(reviews: DataFrame, least: int = 30, ui_labels: tuple[str, ...]
     return reviews.where((F.length("text") >= least) & ~F.lower(F.trim("text")).isin(*[x.lower() for x in ui_labels] or [""]))
 
 
+def enough_for_aspects(reviews: DataFrame, *keys: str, least: int = 20, texts: int = 3) -> DataFrame:
+    """Reviews of ``least`` characters or more, of the items that have ``texts`` of them at least."""
+    long = reviews.where(F.length(F.trim("text")) >= least)
+    enough = long.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= texts)
+    return long.join(enough, list(keys), "left_semi")
+
+
 def dedup_reviews(reviews: DataFrame, *keys: str) -> DataFrame:
     """First review of each author and first 120 characters."""
     order = W.partitionBy(*keys, F.coalesce("author", F.lit("")), F.substring("text", 1, 120)).orderBy("pos")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bazaarium import values as V
-from bazaarium.operators.normalize import TERMS
+from bazaarium.operators.normalize import FORMS, TERMS
 from bazaarium.plans import payloads
 from bazaarium.plans.bridge import CHECKS_SQL, OFFERS_SQL, POINTS_SQL, POS, QUERIES_SQL, REVIEWS_SQL, WATCHES_SQL
 
@@ -223,4 +223,27 @@ ORACLES["relevance"] = _with(
     body="SELECT p_partkey, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS badge FROM total",
 )
 
+_GROUP_OF = {member: group for group in V.SYNONYMS for member in group}
+_SYNONYMS = ", ".join(f"({_q(FORMS.get(m, m))}, {_q(other)}, {i})" for m, group in _GROUP_OF.items() for i, other in enumerate(group) if FORMS.get(other, other) != FORMS.get(m, m))
+_SPLIT = r"list_filter(regexp_split_to_array(%s, '\s+'), lambda w: w <> '')"
+ORACLES["normalized_queries"] = (
+    ORACLES["typo_corrections"].replace("SELECT token, term AS fixed", "fixes AS (SELECT token, term AS fixed", 1).replace(") fixes AS", "), fixes AS", 1)
+    + f"""), split AS (SELECT query_id, raw, {_SPLIT % CLEANED} AS words FROM queries
+), placed AS (SELECT query_id, unnest(words) AS token, unnest(range(len(words))) AS place FROM split
+), joined AS (SELECT query_id, token, place, coalesce(fixed, token) AS new FROM placed LEFT JOIN fixes USING (token)
+), mended AS (SELECT query_id, string_agg(new, ' ' ORDER BY place) AS raw, list('опечатка: ' || token || ' → ' || new ORDER BY place) FILTER (new <> token) AS notes FROM joined GROUP BY 1
+), told AS (SELECT query_id, raw AS mended, notes, array_to_string(list_transform({_SPLIT % TRANSLATED}, lambda w: coalesce(list_extract(map_extract({_map(V.BRANDS)}, w), 1), w)), ' ') AS normalized FROM mended
+), syn(lemma, synonym, group_place) AS (VALUES {_SYNONYMS}
+), words AS (SELECT query_id, normalized, {_SPLIT % 'normalized'} AS words FROM told
+), each AS (SELECT query_id, normalized, words, unnest(words) AS token, unnest(range(len(words))) AS place FROM words
+), swapped AS (
+  SELECT query_id, place, group_place, token, synonym, array_to_string(list_concat(list_concat(words[:place], [synonym]), words[place + 2:]), ' ') AS alternate, normalized
+  FROM each JOIN syn ON lemma = coalesce(list_extract(map_extract({_map(FORMS)}, lower(token)), 1), lower(token))
+), once AS (SELECT * FROM swapped WHERE alternate <> normalized QUALIFY row_number() OVER (PARTITION BY query_id, alternate ORDER BY place, group_place) = 1
+), few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, group_place) AS number FROM once QUALIFY number <= 3
+), alternates AS (SELECT query_id, string_agg(alternate, '; ' ORDER BY number) AS alternates, list('синоним: ' || token || ' → ' || synonym ORDER BY number) AS notes FROM few GROUP BY 1)
+SELECT query_id, normalized, array_to_string(list_concat(list_concat(coalesce(t.notes, []), CASE WHEN mended <> normalized THEN ['перевод: «' || mended || '» → «' || normalized || '»'] ELSE [] END), coalesce(a.notes, [])), '; ') AS expansions, coalesce(alternates, '') AS alternates
+FROM told t LEFT JOIN alternates a USING (query_id)"""
+)
+
 ORACLES |= payloads.ORACLES

@@ -273,6 +273,12 @@ def media_links(spark, sf):
     return _parts(spark, sf).select("p_partkey", urls.feedback_photo(key)["jpg"].alias("photo"), urls.feedback_video(key)["hls"].alias("video"), pricing.time_ago(ts, now).alias("ago"))
 
 
+@query(f"WITH {bridge.REVIEWS_SQL}, l AS (SELECT item_id, author, pos FROM reviews WHERE length(trim(text)) >= 20) SELECT item_id, author, count(*) AS texts, min(pos) AS first FROM l GROUP BY 1, 2 HAVING count(*) >= 3")
+def texts_for_aspects(spark, sf):
+    found = reviews.enough_for_aspects(bridge.reviews(spark, sf), "item_id", "author")
+    return found.groupBy("item_id", "author").agg(F.count("*").alias("texts"), F.min("pos").alias("first"))
+
+
 CRC = "list_reduce(range(0, 64), lambda c, i: xor(c >> 1, (xor(c, p_partkey >> i) & 1) * 40961), CAST(0 AS BIGINT))"
 ORACLES["feedback_shards"] = f"SELECT p_partkey, crc, CASE WHEN crc % 100 >= 50 THEN 2 ELSE 1 END AS shard FROM (SELECT p_partkey, {CRC} AS crc FROM part)"
 # Capacity 1, one token a minute; the first call of a key finds a full bucket.
