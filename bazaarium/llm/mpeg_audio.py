@@ -252,26 +252,34 @@ def _wrong(rows: np.ndarray, h: Header) -> int:
 
 
 def parse(data: bytes) -> Stream:
-    """Parse a stream.  Bytes that are neither frame nor tag are skipped and counted; a cut last frame is skipped too."""
+    """Parse a stream.  Bytes that are neither frame nor tag are skipped and counted; a cut last frame is skipped too.
+
+    The letters of a tag inside a frame are that frame's: a tag is read only where the walk over frames, tags and
+    skipped bytes arrives at it.
+    """
     out, at, end, raw = Stream(), 0, len(data), np.frombuffer(data, np.uint8)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for key, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            out.tags.setdefault(key, data[end + a : end + b].decode("latin-1").strip("\x00 "))
+    #: Where an ID3v1 tag stands if there is one.
+    last = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     kind = None
     while at < end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _id3(data, at, out.tags)
             continue
+        if at == last:
+            for key, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+                out.tags.setdefault(key, data[at + a : at + b].decode("latin-1").strip("\x00 "))
+            break
         h = header(data[at : at + 4])
         fits = h is not None and at + h.size <= end and kind in (None, h.kind)
-        if fits and at + h.size < end and data[at + h.size : at + h.size + 3] != b"ID3":
+        if fits and at + h.size not in (last, end) and data[at + h.size : at + h.size + 3] != b"ID3":
             after = header(data[at + h.size : at + h.size + 4])
             fits = after is not None and after.kind == h.kind
         if not fits:
             to = data.find(b"\xff", at + 1, end)
-            out.skipped += (to if to >= 0 else end) - at
-            at = to if to >= 0 else end
+            to = to if to >= 0 else end
+            to = last if at < last < to else to
+            out.skipped += to - at
+            at = to
             continue
         if kind is None:
             kind = h.kind
