@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, sentencepiece_unigram, simhash, sst, token_counts, toxicity
+from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, periodic_runs, sentencepiece_unigram, simhash, sst, token_counts, toxicity
 from bazaarium.llm.tables import held_out
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -75,6 +75,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary(BYTE_BPE), limit=1024)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looped = periodic_runs.looped(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    return periodic_runs.described(periodic_runs.periodic_runs(looped))
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
