@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, periodic_runs, sentencepiece_unigram, simhash, sst, token_counts, toxicity
+from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, packing, periodic_runs, sentencepiece_unigram, simhash, sst, token_counts, toxicity
 from bazaarium.llm.tables import held_out
 
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
@@ -80,6 +81,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.described(periodic_runs.periodic_runs(looped))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir), vocabulary(WORD_BPE), end_id=0, capacity=2048)
+    return packing.packed(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 2048)
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
