@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, packing, periodic_runs, sentencepiece_unigram, simhash, sst, token_counts, toxicity
+from bazaarium.llm import exact_dedup, language_id, line_dedup, mixing, mpeg_audio, packing, periodic_runs, prefix_trie, sentencepiece_unigram, simhash, sst, token_counts, toxicity
 from bazaarium.llm.tables import held_out
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -86,6 +86,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 2048)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    c = F.col("conv_id")
+    return prefix_trie.trie(prefix_trie.with_openings(turns, base=c - c % 100, shared=F.crc32(c.cast("string").cast("binary")) % 6, most=5))
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_packing": op12_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}

@@ -102,7 +102,7 @@ def test_knapsack_equals_all_multisets():
         np.testing.assert_allclose(packing.knapsack(prices), want)
 
 
-def test_fractions_cover_every_length_alike():
+def test_fractions_leave_no_length_behind():
     rng = np.random.default_rng(4)
     lengths = rng.lognormal(6, 0.8, 50000).astype(int)
     lengths = lengths[(lengths > 20) & (lengths < 2048)]
@@ -112,7 +112,7 @@ def test_fractions_cover_every_length_alike():
     for config, share in use.items():
         np.add.at(covered, list(config), share)
     ratio = covered[counts > 0] / counts[counts > 0]
-    assert 0.6 < np.average(ratio, weights=(counts * np.arange(2049))[counts > 0]) <= 1.1
+    assert np.percentile(ratio, 1) > 0.6 * np.median(ratio)
     assert prices[counts > 0].min() > 0
 
 
