@@ -17,6 +17,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Marks that alone are a pre-token after a word of letters.
+MARKS = ".,;:!?"
+
 _pretokens = regex.compile(PATTERN).findall
 #: Printable letters that no normaliser composes; the cases of each are alike in all libraries.
 _plain = regex.compile("[!-~¡-ɏ]+").fullmatch
@@ -49,18 +52,27 @@ class WordBpe:
     def _library(self, text: str) -> bytes:
         return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _pieces(self, pretoken: str) -> list[int]:
+        letters = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self.whole.model.tokenize(letters)]
+
     def _packed(self, word: bytes) -> bytes:
         text = word.decode()
         if not _plain(text):
             return self._library(text)
-        tokenize = self.whole.model.tokenize
-        return array(self.code, [t.id for p in _pretokens(text.lower()) for t in tokenize(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        if text[-1] in MARKS and text[:-1].isalpha():
+            return self.packed[word[:-1]] + self.packed[word[-1:]]
+        text = text.lower()
+        return array(self.code, self._pieces(text) if text.isalpha() else [i for p in _pretokens(text) for i in self._pieces(p)]).tobytes()
 
     def encode(self, raw: bytes) -> bytes:
-        """Ids of a text in UTF-8, packed little-endian as ``code`` says; equal to the library's."""
+        """Ids of a text in UTF-8, packed little-endian as ``code`` says; equal to the library's.
+
+        A to Z are lower-cased for the whole text at once: they compose with marks as their small letters do.
+        """
         if not self.by_words or any(s in raw for s in self.special):
             return self._library(raw.decode())
-        return b"".join(map(self.packed.__getitem__, raw.split()))
+        return b"".join(map(self.packed.__getitem__, raw.lower().split()))
 
 
 _open: dict[str, WordBpe] = {}
