@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.functions import variants
+from bazaarium.functions import json_nodes
 from bazaarium.functions.numbers import decimal_price
 from bazaarium.functions.urls import absolute_image
 
 BLOCK = r"(?is)<script[^>]*type=[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 #: Keys whose values hold further nodes.
 NESTED = ("@graph", "itemListElement", "item", "mainEntity")
-DEPTH = 6
 
 
 def blocks(html: Column) -> Column:
@@ -25,13 +24,12 @@ def _text(node: Column, path: str) -> Column:
 
 
 def nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """(``keep`` columns, node) of every node in a page's JSON-LD, to DEPTH levels; broken blocks give none.
+    """(``keep`` columns, node) of every node in a page's JSON-LD, to any depth; broken blocks give none.
 
     Lists are gone through; of a node's values only those under NESTED keys.
     """
-    start = pages.select(*keep, F.explode(blocks(F.col(html))).alias("block")).select(*keep, F.try_parse_json("block").alias("node")).where("node IS NOT NULL")
-    found = variants.walk(start, list(keep), DEPTH, NESTED)
-    return found.where(variants.is_object(F.col("node"))).drop("path")
+    start = pages.select(*keep, F.explode(blocks(F.col(html))).alias("_block"))
+    return json_nodes.walk(start, list(keep), "_block", NESTED).drop("at")
 
 
 def is_product(node: Column) -> Column:
@@ -51,20 +49,21 @@ def plain_price(node: Column) -> Column:
     return F.coalesce(*[_text(node, p).try_cast("decimal(12,2)") for p in ("$.price", "$.lowPrice")])
 
 
-def image(node: Column) -> Column:
-    """First picture of a node, given as text, object or list of them, objects in one another to two levels.
+# The keys of an object under which its picture may stand, in order.
+PICTURE_KEYS = ("url", "contentUrl", "thumbnailUrl", "image")
 
-    Of an object the first of its link, content link, thumbnail and picture counts; of a list the first item that has one.
-    """
-    inner = ("", ".url", ".contentUrl", ".thumbnailUrl", ".image", ".url.url", ".image.url", ".image.contentUrl")
-    own = [absolute_image(_text(node, f"$.image{p}")) for p in inner]
-    listed = F.from_json(F.to_json(F.try_variant_get(node, "$.image", "variant")), "array<string>")
 
-    def of(item: Column) -> Column:
-        return F.coalesce(absolute_image(item), *[absolute_image(F.get_json_object(item, f"${p}")) for p in inner[1:]])
+def picture(value: Column) -> Column:
+    """First link of a variant that is a text, an object or a list of such, in one another to any depth."""
+    found = F.transform(json_nodes.candidate_links(F.to_json(value), PICTURE_KEYS), lambda u: absolute_image(u))
+    return F.get(F.filter(found, lambda u: u.isNotNull()), F.lit(0))
 
-    first = F.filter(F.transform(listed, of), lambda u: u.isNotNull())
-    return F.coalesce(*own, F.get(first, F.lit(0)))
+
+def image(node: Column) -> Column:
+    """First picture of a node: of its image, else of its thumbnail, else of the image or thumbnail of its first offer."""
+    paths = ("$.image", "$.thumbnailUrl", "$.offers[0].image", "$.offers.image", "$.offers[0].thumbnailUrl", "$.offers.thumbnailUrl")
+    given = [F.try_variant_get(node, p, "variant") for p in paths]
+    return picture(F.coalesce(*[F.when(~F.coalesce(F.to_json(v).isin('""', "[]", "{}", "null"), F.lit(True)), v) for v in given]))
 
 
 def brand(node: Column) -> Column:

@@ -1,8 +1,8 @@
-"""Nodes of nested variants, found level by level without leaving the DataFrame."""
+"""Fields of variants."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -12,29 +12,5 @@ def field(node: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(inner).rlike("^(?!OBJECT|ARRAY)"), F.try_variant_get(node, path, "string"))
 
 
-def walk(rows: DataFrame, keep: list[str], depth: int, only: tuple[str, ...] = ()) -> DataFrame:
-    """(``keep``, path, node) of each ``node`` of ``rows`` and of all below it, ``depth`` levels deep.
-
-    ``path`` holds the place on each level, so its order is that of the text.  Lists are gone through; of an object all values
-    or those under the keys in ``only``.  Each step turns a node of the last level into itself and its children, so every
-    level is computed once.
-    """
-    spark = rows.sparkSession
-    level = rows.select(*keep, F.array().cast("array<int>").alias("path"), "node", F.lit(True).alias("_last"))
-    for _ in range(depth):
-        ways = F.when(F.col("_last"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-        opened = level.withColumn("_open", F.explode(ways)).withColumn("_target", F.when(F.col("_open"), F.col("node")))
-        below = spark.tvf.variant_explode_outer(F.col("_target").outer())
-        joined = opened.lateralJoin(below.select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
-        found = F.col("_value").isNotNull()
-        if only:
-            found = found & (F.col("_key").isNull() | F.col("_key").isin(*only))
-        kept = joined.where(~F.col("_open") | found)
-        path = F.when(F.col("_open"), F.concat("path", F.array(F.col("_pos")))).otherwise(F.col("path"))
-        node = F.when(F.col("_open"), F.col("_value")).otherwise(F.col("node"))
-        level = kept.select(*keep, path.alias("path"), node.alias("node"), F.col("_open").alias("_last"))
-    return level.drop("_last")
-
-
 def is_object(node: Column) -> Column:
     return F.schema_of_variant(node).startswith("OBJECT")

@@ -217,6 +217,60 @@ def widget_reviews(spark, sf):
     return found.select("p_partkey", "place", "author", "score", "text", "published_at", F.array_join("photos", " ").alias("photos"))
 
 
+def _unsorted_payload() -> Column:
+    """A page whose keys are not in alphabetical order, with values ten levels deep, more reviews than are kept and two review widgets."""
+    name = F.col("p_name")
+
+    def review(author: str) -> list[Column]:
+        return [F.lit(f'{{"author": "{author}", "text": "A long review by {author} of '), name, F.lit('"}')]
+
+    def deep(inner: list[Column], levels: int = 10) -> list[Column]:
+        return [F.lit("".join(f'{{"k{9 - n % 10}": ' for n in range(levels))), *inner, F.lit("}" * levels)]
+
+    first = [F.lit('{"z": '), *deep(review("Zoe")), F.lit(', "b": ['), *review("Ann"), F.lit(", "), *review("Bob"), F.lit('], "m": {"k": '), *review("Cid"), F.lit(', "a": '), *review("Dan"), F.lit('}, "c": '), *review("Eve"), F.lit(', "a": '), *review("Fay"), F.lit("}")]
+    value = [F.lit('{"name": "Цвет", "values": [{"text": "'), F.col("p_type"), F.lit('"}]}')]
+    features = [F.lit('{"y": '), *deep(value, 12), F.lit(', "x": {"name": "Цвет", "values": [{"text": "other"}]}, "a": {"title": "Вес", "values": [{"text": "1 кг"}]}}')]
+    states = F.create_map(
+        F.lit("webListReviews-9"), F.concat(*first), F.lit("webListReviews-1"), F.concat(*review("Gus")), F.lit("webFeatures-5"), F.concat(*features), F.lit("webFeatures-2"), F.lit('{"name": "Вес", "values": [{"text": "2 кг"}]}'),
+        F.lit("webProductHeading-8"), F.lit('{"title": "first"}'), F.lit("webProductHeading-3"), F.lit('{"title": "second"}'), F.lit("webGallery-6"), F.lit('{"images": ["https://g/2", "https://g/1"]}'), F.lit("webGallery-4"), F.lit('{"coverImage": ["https://g/1", "https://g/0"]}'),
+    )
+    return F.to_json(F.struct(states.alias("widgetStates")))
+
+
+UNSORTED_REVIEWS = "(VALUES (1, 'Zoe'), (2, 'Ann'), (3, 'Bob'), (4, 'Cid'), (5, 'Dan')) AS r(place, author)"
+
+
+@query(f"SELECT p_partkey, place, author, 'A long review by ' || author || ' of ' || p_name AS text FROM part, {UNSORTED_REVIEWS}")
+def widget_reviews_in_order(spark, sf):
+    rows = _parts(spark, sf).select("p_partkey", _unsorted_payload().alias("payload"))
+    return widgets.widget_reviews(widgets.widget_states(rows, "payload", "p_partkey"), "p_partkey").select("p_partkey", "place", "author", "text")
+
+
+@query("""SELECT p_partkey, 'first' AS name, p_type AS colour, '1 кг' AS weight, 'https://g/2 https://g/1 https://g/0' AS images, 'Zoe Ann Bob Cid Dan Eve Fay Gus' AS authors FROM part""")
+def widget_pages(spark, sf):
+    rows = _parts(spark, sf).select("p_partkey", _unsorted_payload().alias("payload"))
+    found, c = widgets.pages(widgets.widget_states(rows, "payload", "p_partkey"), "p_partkey", reviews=50), F.col("characteristics")
+    return found.select("p_partkey", "name", c["Цвет"].alias("colour"), c["Вес"].alias("weight"), F.array_join("images", " ").alias("images"), F.array_join(F.transform("reviews", lambda r: r["author"]), " ").alias("authors"))
+
+
+@query("""SELECT 'https://shop' || (p_partkey % 9) || '.example/' || p_partkey AS url,
+  CASE p_partkey % 6 WHEN 0 THEN 'https://i/u' WHEN 1 THEN 'https://i/thumb' WHEN 2 THEN 'https://i/c' WHEN 3 THEN 'https://i/t' WHEN 4 THEN 'https://i/offer' END || CAST(p_partkey AS VARCHAR) AS image
+FROM part WHERE CAST(p_retailprice AS DECIMAL(12,2)) >= 100""")
+def nested_pictures(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    shapes = [
+        F.concat(F.lit('"image": {"image": [{"contentUrl": {"image": [[{"url": "//i/u'), k, F.lit('"}]]}}]}')), F.concat(F.lit('"image": [{}, "data:x", {"thumbnailUrl": "https://i/thumb'), k, F.lit('"}]')),
+        F.concat(F.lit('"image": {"image": "https://i/x", "contentUrl": "//i/c'), k, F.lit('"}')), F.concat(F.lit('"image": [], "thumbnailUrl": {"url": {"url": {"url": "https://i/t'), k, F.lit('"}}}')),
+        F.concat(F.lit('"color": "x"')), F.lit('"image": {"width": 5}'),
+    ]
+    shape = F.coalesce(*[F.when(F.col("p_partkey") % 6 == n, s) for n, s in enumerate(shapes)])
+    offer = F.concat(F.lit('"offers": [{"price": '), (_cents() / 100).cast("decimal(12,2)").cast("string"), F.lit(', "image": ["https://i/offer'), F.when(F.col("p_partkey") % 6 == 4, k).otherwise(""), F.lit('"]}]'))
+    wraps = 9
+    node = F.concat(F.lit('{"@graph": [' * wraps + '{"@type": "Product", "name": "n", '), shape, F.lit(", "), offer, F.lit("}" + "]}" * wraps))
+    html = F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>"))
+    return captures.page_offers(_parts(spark, sf).select(_page_url().alias("url"), html.alias("html"))).select("url", "image")
+
+
 @query("""SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS item_id, CASE WHEN p_partkey % 2 = 0 THEN 'own' ELSE p_name END AS name, floor(p_retailprice) AS price, CAST(4.5 AS DOUBLE) AS rating,
   CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 12 END AS reviews_count, 2 AS images, p_type || ', x' AS type, 3 AS reviews FROM part""")
 def backfilled_stubs(spark, sf):

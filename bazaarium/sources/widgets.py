@@ -5,6 +5,8 @@ Payloads are JSON objects whose ``widgetStates`` are JSON texts by widget name;
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,11 +14,9 @@ from pyspark.sql import functions as F
 from bazaarium import values as V
 from bazaarium.functions import numbers
 from bazaarium.functions.jsonld import first_wins
-from bazaarium.functions.variants import field, is_object, walk
-from bazaarium.operators.reviews import dedup_reviews
+from bazaarium.functions.json_nodes import walk
+from bazaarium.functions.variants import field, is_object
 
-#: Levels below a widget that are looked at.
-DEPTH = 7
 REVIEW_CHARS, REVIEW_LEAST, REVIEW_PHOTOS = 1000, 30, 6
 
 
@@ -32,16 +32,19 @@ def rich_text(node: Column, path: str = "$") -> Column:
 
 
 def widget_states(captured: DataFrame, payload: str = "payload", *keep: str) -> DataFrame:
-    """(``keep``, widget, node) of the widgets of each page that parse."""
+    """(``keep``, widget, pos, state) of the widgets of each page in the order of the text; states that do not parse go with the walk."""
     states = F.from_json(F.col(payload), "widgetStates map<string, string>")["widgetStates"]
-    found = captured.select(*keep, F.explode(states).alias("widget", "_state"))
-    return found.select(*keep, "widget", F.try_parse_json("_state").alias("node")).where("node IS NOT NULL")
+    return captured.select(*keep, F.posexplode(F.map_entries(states)).alias("pos", "_e")).select(*keep, F.col("_e.key").alias("widget"), "pos", F.col("_e.value").alias("state"))
 
 
-def name_values(states: DataFrame, *keep: str) -> DataFrame:
-    """(``keep``, widget, path, name, value) of the named values in widgets, wherever they stand; page controls left out."""
-    n = walk(states, [*keep, "widget"], DEPTH).where(is_object(F.col("node")))
-    node = F.col("node")
+def objects(states: DataFrame, *keep: str) -> DataFrame:
+    """(``keep``, widget, place, node) of each object in widgets, at any depth; ``place`` orders them as the page does."""
+    found = walk(states, [*keep, "widget", "pos"], "state")
+    return found.select(*keep, "widget", F.struct("pos", "at").alias("place"), "node")
+
+
+def _named(node: Column) -> Column:
+    """(name, value) of an object that is a named value, else null; page controls are none."""
     name = F.coalesce(*[rich_text(node, f"$.{k}") for k in ("title", "name", "label", "titleRs")])
     values = F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in ("values", "subtitleRs", "subtitle")])
     listed = F.from_json(F.to_json(values), "array<string>")
@@ -52,30 +55,32 @@ def name_values(states: DataFrame, *keep: str) -> DataFrame:
         return F.coalesce(*[_empty(c) for c in (F.get_json_object(v, "$.text"), runs, F.get_json_object(v, "$.content"), F.get_json_object(v, "$.value"), plain)])
 
     texts = F.filter(F.transform(listed, item), lambda t: t.isNotNull())
-    control = (F.size(texts) == 1) & F.lower(texts[0]).isin(*V.CONTROL_VALUES)
+    control = F.coalesce((F.size(texts) == 1) & F.lower(texts[0]).isin(*V.CONTROL_VALUES), F.lit(False))
     alone = F.coalesce(rich_text(values), field(values, "$.value"))
-    value = F.trim(F.when(listed.isNotNull() & (F.size(texts) > 0), F.array_join(texts, ", ")).otherwise(F.when(is_object(values), alone)))
-    found = n.select(*keep, "widget", "path", F.trim(name).alias("name"), value.alias("value"), F.coalesce(control, F.lit(False)).alias("_control"))
-    spaces = F.length("value") - F.length(F.replace("value", F.lit(" "), F.lit("")))
-    fit = (F.length("name") <= 100) & (F.length("value") <= 500) & (spaces <= 25) & ~F.col("_control") & ~F.lower("name").isin(*V.CONTROL_NAMES)
-    return found.where("name <> '' AND value <> ''").where(fit).drop("_control")
+    name, value = F.trim(name), F.trim(F.when(listed.isNotNull() & (F.size(texts) > 0), F.array_join(texts, ", ")).otherwise(F.when(is_object(values), alone)))
+    spaces = F.length(value) - F.length(F.replace(value, F.lit(" "), F.lit("")))
+    fit = (name != "") & (value != "") & (F.length(name) <= 100) & (F.length(value) <= 500) & (spaces <= 25) & ~control & ~F.lower(name).isin(*V.CONTROL_NAMES)
+    return F.when(fit, F.struct(name.alias("name"), value.alias("value")))
+
+
+def name_values(states: DataFrame, *keep: str) -> DataFrame:
+    """(``keep``, widget, place, name, value) of the named values in widgets, wherever they stand; page controls left out."""
+    found = objects(states, *keep).select(*keep, "widget", "place", _named(F.col("node")).alias("_n"))
+    return found.where("_n IS NOT NULL").select(*keep, "widget", "place", "_n.name", "_n.value")
+
+
+def _first_named(pairs: Column) -> Column:
+    """Map of (place, name, value) in which the first value of a name stays."""
+    return first_wins(F.transform(F.array_sort(pairs), lambda p: F.struct(p["name"].alias("key"), p["value"].alias("value"))))
 
 
 def characteristics(states: DataFrame, *keep: str) -> DataFrame:
     """(``keep``, characteristics) of each page: its named values, the first of each name."""
-    pair = F.struct("widget", "path", F.col("name").alias("key"), "value")
-    return name_values(states, *keep).groupBy(*keep).agg(first_wins(F.array_sort(F.collect_list(pair))).alias("characteristics"))
+    return name_values(states, *keep).groupBy(*keep).agg(_first_named(F.collect_list(F.struct("place", "name", "value"))).alias("characteristics"))
 
 
-def widget_reviews(states: DataFrame, *keep: str, limit: int = 5) -> DataFrame:
-    """(``keep``, place, author, score, text, published_at, photos): the first ``limit`` reviews of each page.
-
-    Only widgets of reviews count.  Every object with a text counts, so the content of a review comes again without its author
-    where that stands outside.  Texts have REVIEW_LEAST characters at least and are cut at REVIEW_CHARS; of equal authors and beginnings the
-    first stays; photos are links, each once, REVIEW_PHOTOS at most.
-    """
-    own = states.where(" OR ".join(f"startswith(lower(widget), '{w}')" for w in V.REVIEW_WIDGETS))
-    n, node = walk(own, [*keep, "widget"], DEPTH).where(is_object(F.col("node"))), F.col("node")
+def _review(node: Column, widget: Column) -> Column:
+    """(author, score, text, published_at, photos) of an object that is a review, else null."""
     body = F.trim(F.coalesce(*[rich_text(node, f"$.{p}") for p in ("text", "comment", "body", "content.comment.text", "content.comment", "review.text")]))
     author = F.coalesce(*[_empty(field(node, f"$.{p}")) for p in ("author", "authorName", "userName", "user.name", "author.name", "author.title")])
     score = F.coalesce(*[F.nullif(field(node, f"$.{p}").try_cast("double"), F.lit(0.0)) for p in ("score", "rating", "itemRating", "content.score")]).cast("int")
@@ -88,31 +93,59 @@ def widget_reviews(states: DataFrame, *keep: str, limit: int = 5) -> DataFrame:
 
     every = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
     photos = F.slice(F.array_distinct(F.filter(F.transform(every, link), lambda u: u.rlike("^https?://"))), 1, REVIEW_PHOTOS)
-    found = n.select(*keep, F.struct("widget", "path").alias("pos"), author.alias("author"), score.alias("score"), body.alias("text"), published.alias("published_at"), photos.alias("photos"))
-    found = found.where((F.length("text") >= REVIEW_LEAST) & ~F.lower("text").isin(*V.CONTROL_TEXTS))
-    place = F.row_number().over(W.partitionBy(*keep).orderBy("pos"))
-    first = dedup_reviews(found, *keep).withColumn("place", place).where(F.col("place") <= limit)
-    return first.withColumn("text", F.substring("text", 1, REVIEW_CHARS)).drop("pos")
+    of_reviews = reduce(lambda a, b: a | b, [F.startswith(F.lower(widget), F.lit(prefix)) for prefix in V.REVIEW_WIDGETS])
+    fit = of_reviews & (F.length(body) >= REVIEW_LEAST) & ~F.lower(body).isin(*V.CONTROL_TEXTS)
+    return F.when(fit, F.struct(author.alias("author"), score.alias("score"), body.alias("text"), published.alias("published_at"), photos.alias("photos")))
 
 
-def page_facts(states: DataFrame, *keep: str) -> DataFrame:
-    """(``keep``, name, sku, price, images, rating, reviews_count) from the widgets of each product page."""
-    node, w = F.col("node"), F.col("widget")
+def _first_reviews(found: Column, limit: int) -> Column:
+    """Of (place, author, ..) the first ``limit`` by place, one of equal authors and beginnings, with ``place`` from 1 and texts cut."""
+    key = lambda r: F.concat_ws("\n", F.coalesce(r["review"]["author"], F.lit("")), F.substring(r["review"]["text"], 1, 120))
+    rows = F.array_sort(found)
+    fresh = F.slice(F.filter(rows, lambda r, i: F.array_position(F.transform(rows, key), key(r)) == i + 1), 1, limit)
+    cut = lambda r, i: F.struct((i + 1).alias("place"), *[r["review"][c].alias(c) for c in ("author", "score")], F.substring(r["review"]["text"], 1, REVIEW_CHARS).alias("text"), *[r["review"][c].alias(c) for c in ("published_at", "photos")])
+    return F.transform(fresh, cut)
 
-    def first(value: Column, prefix: str) -> Column:
-        return F.min_by(F.when(w.startswith(prefix), value), F.when(w.startswith(prefix) & value.isNotNull(), w))
 
-    priced = w.contains("webPrice") | w.startswith("webOzonAccountPrice")
+def widget_reviews(states: DataFrame, *keep: str, limit: int = 5) -> DataFrame:
+    """(``keep``, place, author, score, text, published_at, photos): the first ``limit`` reviews of each page, in the order of its text.
+
+    Only widgets of reviews count.  Every object with a text counts, so the content of a review comes again without its author
+    where that stands outside.  Texts have REVIEW_LEAST characters at least and are cut at REVIEW_CHARS; of equal authors and beginnings the
+    first stays; photos are links, each once, REVIEW_PHOTOS at most.
+    """
+    found = objects(states, *keep).select(*keep, "place", _review(F.col("node"), F.col("widget")).alias("review")).where("review IS NOT NULL")
+    pages = found.groupBy(*keep).agg(_first_reviews(F.collect_list(F.struct("place", "review")), limit).alias("_r"))
+    return pages.select(*keep, F.inline("_r"))
+
+
+def pages(states: DataFrame, *keep: str, reviews: int = 5) -> DataFrame:
+    """What the widgets of each product page say: (``keep``, name, sku, price, rating, reviews_count, images, characteristics, reviews).
+
+    The first widget in the page that has a value gives it; images are those of all galleries, each once.  One walk and one
+    aggregate; a group holds what one page's text does.
+    """
+    node, w = F.col("node"), F.col("widget")
+    n = objects(states, *keep)
+    root, place = F.col("place.at") == F.min("place.at").over(W.partitionBy(*keep, "place.pos")), F.col("place")
     price = numbers.digits_price(F.coalesce(*[rich_text(node, f"$.{k}") for k in ("cardPrice", "price", "finalPrice")]))
-    listed = F.from_json(F.to_json(F.try_variant_get(node, "$.images", "variant")), "array<string>")
-    picture = lambda i: F.when(~F.startswith(i, F.lit("{")), i).when(F.coalesce(F.get_json_object(i, "$.type"), F.lit("image")) == "image", F.coalesce(F.get_json_object(i, "$.src"), F.get_json_object(i, "$.url")))
-    images = F.array_distinct(F.filter(F.transform(listed, picture), lambda u: u.isNotNull()))
+    listed = F.from_json(F.to_json(F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in ("images", "coverImage")])), "array<string>")
+    picture = lambda i: F.when(~F.startswith(i, F.lit("{")), i).when(F.coalesce(F.get_json_object(i, "$.type"), F.lit("image")).isin("image", ""), F.coalesce(F.get_json_object(i, "$.src"), F.get_json_object(i, "$.url")))
+    images = F.filter(F.transform(listed, picture), lambda u: u.isNotNull())
     rating = F.coalesce(*[F.nullif(field(node, f"$.{k}").try_cast("double"), F.lit(0.0)) for k in ("score", "totalScore")])
-    return states.groupBy(*keep).agg(
-        first(rich_text(node, "$.title"), "webProductHeading").alias("name"), first(field(node, "$.sku"), "webProductMainWidget").alias("sku"),
-        F.min_by(F.when(priced, price), F.when(priced & price.isNotNull(), w)).alias("price"), first(images, "webGallery").alias("images"),
-        first(rating, "webReviewProductScore").alias("rating"), first(field(node, "$.reviewsCount").try_cast("int"), "webReviewProductScore").alias("reviews_count"),
-    )
+    facts = {
+        "name": (w.startswith("webProductHeading"), rich_text(node, "$.title")), "sku": (w.startswith("webProductMainWidget"), field(node, "$.sku")),
+        "price": (w.contains("webPrice") | w.startswith("webOzonAccountPrice"), price), "rating": (w.startswith("webReviewProductScore"), rating),
+        "reviews_count": (w.startswith("webReviewProductScore"), field(node, "$.reviewsCount").try_cast("int")), "images": (w.startswith("webGallery"), images),
+    }
+    said = n.select(*keep, "place", *[F.when(root & of, value).alias(name) for name, (of, value) in facts.items()], _named(node).alias("named"), _review(node, w).alias("review"))
+    first = [F.min_by(name, F.when(F.col(name).isNotNull(), place)).alias(name) for name in facts if name != "images"]
+    gallery = F.array_sort(F.collect_list(F.when(F.col("images").isNotNull(), F.struct("place", "images"))))
+    return said.groupBy(*keep).agg(
+        *first, F.array_distinct(F.flatten(F.transform(gallery, lambda g: g["images"]))).alias("images"),
+        _first_named(F.collect_list(F.when(F.col("named").isNotNull(), F.struct("place", "named.name", "named.value")))).alias("characteristics"),
+        _first_reviews(F.collect_list(F.when(F.col("review").isNotNull(), F.struct("place", "review"))), reviews).alias("reviews"),
+    )
 
 
 def backfilled(stubs: DataFrame, captured: DataFrame, payload: str = "payload", key: str = "url", reviews: int = 5) -> DataFrame:
@@ -120,11 +153,8 @@ def backfilled(stubs: DataFrame, captured: DataFrame, payload: str = "payload",
 
     Adds images, characteristics and reviews of the page.  Stubs without a page stay as they are.
     """
-    states = widget_states(captured, payload, key)
-    facts = page_facts(states, key).select(key, *[F.col(c).alias(f"_{c}") for c in ("name", "sku", "price", "rating", "reviews_count")], "images")
-    review = F.struct("place", "author", "score", "text", "published_at", "photos")
-    said = widget_reviews(states, key, limit=reviews).groupBy(key).agg(F.array_sort(F.collect_list(review)).alias("reviews"))
-    joined = stubs.join(facts, key, "left").join(characteristics(states, key), key, "left").join(said, key, "left")
-    filled = {"item_id": "_sku", "name": "_name", "price": "_price", "rating": "_rating", "reviews_count": "_reviews_count"}
+    filled = {"item_id": "sku", "name": "name", "price": "price", "rating": "rating", "reviews_count": "reviews_count"}
+    found = pages(widget_states(captured, payload, key), key, reviews=reviews).withColumnsRenamed({c: f"_{c}" for c in filled.values()})
+    joined = stubs.join(found, key, "left")
     blank = lambda c: _empty(F.col(c)) if c in ("item_id", "name") else F.col(c)
-    return joined.select(*[F.coalesce(blank(c), F.col(filled[c])).alias(c) if c in filled else F.col(c) for c in stubs.columns], "images", "characteristics", "reviews")
+    return joined.select(*[F.coalesce(blank(c), F.col(f"_{filled[c]}")).alias(c) if c in filled else F.col(c) for c in stubs.columns], "images", "characteristics", "reviews")
