@@ -460,6 +460,16 @@ def price_alerts_stream(spark, sf):
     return streamed.price_alerts(spark, sf)
 
 
+@query
+def search_stream(spark, sf):
+    return streamed.search_outcomes(spark, sf)
+
+
+@query
+def price_series_stream(spark, sf):
+    return streamed.price_series(spark, sf)
+
+
 @query
 def hourly_prices_stream(spark, sf):
     return streamed.hourly_prices(spark, sf)

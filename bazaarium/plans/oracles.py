@@ -32,6 +32,9 @@ SCORED = f"""scored AS (
 ), zed AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE ({P} - mu) / CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE sd END END AS z FROM scored)"""
 
 
+_TOP_TEN = f"""SELECT *, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, {POS}) AS rank FROM (SELECT *, CAST(-0.4 * z + 0.25 * coalesce(rating, 0) / 5 + 0.15 * ln(1 + 0) / 10 + 0.15 * 0.5 - 0.05 * 3 / 30 AS DOUBLE) AS s FROM zed)) WHERE rank <= 10"""
+
+
 def _deals(price_weight: float, reviews: str, top: int, columns: str) -> str:
     score = f"{price_weight} * z + 0.25 * coalesce(rating, 0) / 5 + 0.15 * ln(1 + {reviews}) / 10 + 0.15 * 0.5 - 0.05 * 3 / 30"
     return _offers(
@@ -166,6 +169,14 @@ ORACLES: dict[str, str] = {
     "item_ids": _offers(f"SELECT {ID}, CASE WHEN source = 'wb' THEN item_id ELSE url END AS id FROM offers"),
     "escalations": "SELECT source, event_id, recent, CAST(least(3, 1 + sum(CASE WHEN recent >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)) AS INT) AS level FROM (SELECT event_type AS source, event_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND 1 PRECEDING) + row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) AS recent FROM events WHERE event_id % 3 <> 0)",
     "fresh_or_stale": _with(POINTS_SQL, body="SELECT source, CASE WHEN age < 900 THEN 'fresh' WHEN age < CASE WHEN source = 'purchase' THEN 21600 ELSE 0 END THEN 'stale' ELSE 'miss' END AS status, count(*) AS reads FROM (SELECT *, CAST(floor(epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY source, item_id ORDER BY ts, price)) / 1e6) AS BIGINT) AS age FROM points) GROUP BY 1, 2"),
+    "search_stream": _offers(
+        f"""SELECT * REPLACE (CAST(rank AS DOUBLE) AS rank, CAST(offers AS DOUBLE) AS offers, CAST(in_order AS DOUBLE) AS in_order) FROM (SELECT query_id, 'source_finished' AS event, source, NULL AS rank, NULL AS offer, NULL AS score, count(*) AS offers, min({P}) AS min_price, round(sum({P}), 2) AS total_price, round(median({P}), 3) AS median_price,
+  CASE source WHEN 'ozon' THEN 'timeout' WHEN 'runet' THEN 'partial' END AS error, NULL AS in_order FROM offers GROUP BY 1, 3
+UNION ALL SELECT query_id, 'source_finished', s.source, NULL, NULL, NULL, 0, NULL, NULL, NULL, 'timeout', NULL FROM (SELECT DISTINCT query_id FROM offers) q CROSS JOIN (VALUES ('wb'), ('ozon'), ('ya_market'), ('runet')) AS s(source) WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.query_id = q.query_id AND o.source = s.source)
+UNION ALL SELECT query_id, 'top_deal', source, rank, printf('%012d-%012d-%012d-%012d', l_orderkey, l_linenumber, l_partkey, l_suppkey), score, NULL, NULL, NULL, NULL, NULL, NULL FROM ({_TOP_TEN})
+UNION ALL SELECT query_id, 'done', NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, 1 FROM offers GROUP BY 1)""", SCORED
+    ),
+    "price_series_stream": _with(POINTS_SQL, body=f"SELECT source, item_id, ts, {P} AS price, row_number() OVER (PARTITION BY source, item_id ORDER BY ts, price) AS place FROM (SELECT * FROM points WHERE price > 0 QUALIFY row_number() OVER (PARTITION BY source, item_id ORDER BY ts DESC, price DESC) <= 200)"),
     "price_alerts_stream": _with(CHECKS_SQL, body="SELECT watch_id, check_id, round(d, 4) AS diff_pct FROM (SELECT *, (CAST(best_price AS DOUBLE) - CAST(prev AS DOUBLE)) / CAST(prev AS DOUBLE) * 100 AS d FROM (SELECT *, lag(best_price) OVER (PARTITION BY watch_id ORDER BY check_ts, check_id) AS prev FROM checks WHERE best_price IS NOT NULL) WHERE prev > 0) WHERE abs(d) >= 2"),
     "parsed_pages": r"SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld.json[^>]*>')) AS blocks, contains(lower(html), '<title') AS titled, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages",
     "parsed_cards": "SELECT p_partkey, CAST(floor(p_retailprice) AS DOUBLE) AS price, 1 + (p_partkey % 40) / CAST(10 AS DOUBLE) AS rating, p_size * 100 AS reviews_count, 'Samsung' AS brand, (8 * (p_partkey % 3 + 1)) || ' ГБ' AS ram FROM part WHERE p_retailprice >= 100",
