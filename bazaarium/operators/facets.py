@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bazaarium import values as V
 from bazaarium.functions.numbers import first_number
+from bazaarium.session import stored
 
 SCHEMA = ["query_id", "kind", "label", "min", "max", "value", "offers"]
 
@@ -43,13 +44,14 @@ def dynamic(offers: DataFrame, most: int = V.FACET_MOST) -> DataFrame:
     Numeric if enough values are numbers that differ, else a row for each value.  Counts go by (query, label, value)
     first, so a common label is no single group of rows.
     """
-    # One more pair without a key stands for the offer itself: one pass counts offers and values, and its shuffle is shared.
+    # One more pair without a key stands for the offer itself, so one pass counts offers and values; the counts are written
+    # once, as what follows reads them three times.
     plain = F.coalesce("characteristics", F.create_map().cast("map<string,string>"))
     none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
     pairs = offers.select("query_id", F.explode(F.concat(F.map_entries(plain), none)).alias("p"))
     pairs = pairs.select("query_id", F.when(F.col("p.key").isNotNull(), _facet_key(F.col("p.key"))).alias("label"), F.trim("p.value").alias("value"), F.col("p.key").isNull().alias("whole"))
     pairs = pairs.where("whole OR (label IS NOT NULL AND value IS NOT NULL AND value <> '')")
-    counted = pairs.groupBy("query_id", "label", "value").agg(F.count("*").alias("n"))
+    counted = stored(pairs.groupBy("query_id", "label", "value").agg(F.count("*").alias("n")), "facet-values")
     n = counted.where("label IS NULL").select("query_id", F.col("n").alias("all_offers"))
     by_value = counted.where("label IS NOT NULL").withColumn("number", first_number(F.col("value")))
     by_label = by_value.groupBy("query_id", "label").agg(

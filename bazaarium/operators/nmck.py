@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from bazaarium import values as V
 from bazaarium.functions import pricing
+from bazaarium.operators.offers import with_group
+from bazaarium.operators.ranking import medians, placed
+from bazaarium.session import stored
 
 
 def one_per_seller(offers: DataFrame) -> DataFrame:
@@ -28,12 +31,12 @@ def selection(offers: DataFrame, preview: bool = False) -> DataFrame:
     Pools of fewer than three sellers give their offers by price.  ``preview`` is the variant of a page, which takes a
     rating of 0 for a missing one.
     """
-    query = W.partitionBy("query_id")
-    p = F.col("price").cast("double")
-    pool = one_per_seller(offers).withColumn("market_median", F.median("price").over(query)).withColumn("sellers", F.count("*").over(query))
-    low, high = V.NMCK_BAND
-    banded = pool.withColumn("in_band", p.between(F.col("market_median") * low, F.col("market_median") * high))
-    kept = banded.withColumn("banded", F.count_if("in_band").over(query)).where((F.col("banded") < V.NMCK_LEAST) | F.col("in_band"))
+    p, low, high = F.col("price").cast("double"), *V.NMCK_BAND
+    pool = stored(one_per_seller(offers), "sellers")
+    facts = with_group(medians(pool, ["query_id"], "price", "market_median"), pool.groupBy("query_id").agg(F.count("*").alias("sellers")), "query_id")
+    banded = with_group(pool, facts, "query_id").withColumn("in_band", p.between(F.col("market_median") * low, F.col("market_median") * high))
+    counts = banded.groupBy("query_id").agg(F.count_if("in_band").alias("banded"))
+    kept = with_group(banded, counts, "query_id").where((F.col("banded") < V.NMCK_LEAST) | F.col("in_band"))
     rating = F.nullif(F.col("rating"), F.lit(0.0)) if preview else F.col("rating")
     trusted = kept.withColumn("trust", pricing.seller_trust(F.col("reviews_count"), rating))
     few = F.col("sellers") < V.NMCK_LEAST
@@ -60,6 +63,6 @@ def sheets(offers: DataFrame, quantity: int = 1) -> tuple[DataFrame, DataFrame]:
     """Two tables of a justification: the chosen offers with their statistics and total, and all offers by source and price."""
     stats = statistics(offers).select("query_id", "n_offers", "mean", "stdev", "cv_pct", "homogeneous", (F.col("mean") * quantity).alias("total"))
     chosen = selection(offers).select("query_id", "number", pricing.source_label(F.col("source")).alias("source_label"), "seller", "name", "price", "url").join(stats, "query_id")
-    order = W.partitionBy("query_id").orderBy("source_label", "price", "pos")
-    every = offers.withColumn("source_label", pricing.source_label(F.col("source"))).withColumn("number", F.row_number().over(order))
+    labelled = offers.withColumn("source_label", pricing.source_label(F.col("source")))
+    every = placed(labelled, ["query_id"], [F.asc("source_label"), F.asc("price"), F.asc("pos")], "number")
     return chosen, every.select("query_id", "number", "source_label", "seller", "name", "price", "url")

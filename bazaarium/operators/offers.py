@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bazaarium import values as V
 from bazaarium.functions import pricing, text, urls
+from bazaarium.operators.ranking import medians, placed
 
 
 def select_sources(offers: DataFrame, wanted: list[str] | None = None, registered: tuple[str, ...] = ("wb", "ozon", "runet")) -> DataFrame:
@@ -29,9 +30,8 @@ def group_stats(offers: DataFrame, status: DataFrame | None = None) -> DataFrame
 
     ``status`` (query_id, source, error, cached) adds groups without offers, with count 0 and their error.
     """
-    found = offers.groupBy("query_id", "source").agg(
-        F.count("*").alias("offers"), F.min("price").alias("min_price"), F.avg("price").alias("mean"), F.median("price").alias("median_price")
-    )
+    facts = offers.groupBy("query_id", "source").agg(F.count("*").alias("offers"), F.min("price").alias("min_price"), F.avg("price").alias("mean"))
+    found = with_group(facts, medians(offers, ["query_id", "source"], "price", "median_price"), "query_id", "source")
     shown = found.select("query_id", "source", "offers", "min_price", F.bround(F.col("mean"), 2).cast("decimal(12,2)").alias("avg_price"), "median_price", F.bround(F.col("median_price").cast("decimal(20,6)"), 2).cast("decimal(12,2)").alias("median_shown"))
     if status is None:
         return shown
@@ -84,10 +84,11 @@ def cheapest_few(offers: DataFrame, n: int = 3) -> DataFrame:
 def market_context(offers: DataFrame) -> DataFrame:
     """Per query: median, mean, min and max of priced offers, mean rating, and number of sources of all offers."""
     p = F.when(F.col("price") > 0, F.col("price"))
-    return offers.groupBy("query_id").agg(
-        F.count(p).alias("priced"), F.median(p).alias("median_price"), (F.sum(p).cast("double") / F.count(p)).alias("mean_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"),
+    facts = offers.groupBy("query_id").agg(
+        F.count(p).alias("priced"), (F.sum(p).cast("double") / F.count(p)).alias("mean_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"),
         F.avg("rating").alias("mean_rating"), F.count_distinct("source").alias("sources"),
     )
+    return with_group(facts, medians(priced(offers), ["query_id"], "price", "median_price"), "query_id")
 
 
 def against_market(offers: DataFrame) -> DataFrame:
@@ -104,8 +105,9 @@ def totals_by_source(offers: DataFrame) -> DataFrame:
 
 def dumping_flags(offers: DataFrame) -> DataFrame:
     """Priced offers with their (query, source) group's median and size, ``drop_pct`` and ``dumping``."""
-    facts = priced(offers).groupBy("query_id", "source").agg(F.median("price").alias("group_median"), F.count("*").alias("group_size"))
-    sized = with_group(priced(offers), facts, "query_id", "source")
+    keys = ["query_id", "source"]
+    facts = with_group(medians(priced(offers), keys, "price", "group_median"), priced(offers).groupBy(*keys).agg(F.count("*").alias("group_size")), *keys)
+    sized = with_group(priced(offers), facts, *keys)
     drop = sized.withColumn("drop_pct", pricing.drop_pct(F.col("price").cast("double"), F.col("group_median")))
     return drop.withColumn("dumping", pricing.dumping(F.col("drop_pct"), F.col("group_size"), F.col("source")))
 
@@ -141,7 +143,7 @@ SORTS = {
 
 def sorted_places(offers: DataFrame, mode: str) -> DataFrame:
     """Offers with ``place`` within their query in one of the five orders of SORTS."""
-    return offers.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*SORTS[mode](), "pos")))
+    return placed(offers, ["query_id"], [*SORTS[mode](), F.col("pos")])
 
 
 def per_source_limit(offers: DataFrame, most: int | Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarium.functions.numbers import review_time
+from bazaarium.operators.ranking import placed
 
 LABELS = ("positive", "neutral", "negative")
 
@@ -71,7 +72,7 @@ def sorted_reviews(reviews: DataFrame, by: str, *keys: str) -> DataFrame:
     """Reviews with ``place``: newest, oldest or by rating; dates that are none come last, a missing rating counts -1."""
     at = review_time(F.col("published_at"))
     first = {"newest": F.desc_nulls_last(at), "oldest": F.asc_nulls_last(at), "rating": F.desc(F.coalesce("rating", F.lit(-1)))}[by]
-    return reviews.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(first, "pos")))
+    return placed(reviews, list(keys), [first, F.asc("pos")])
 
 
 def with_pages(offers: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "bazaarium", **conf: str) -> SparkSession:
@@ -22,3 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not named and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or "file:///tmp/checkpoints/bazaarium").rstrip("/")
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read from there: nothing is computed twice, and lineage ends."""
+    path = f"{shared_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
