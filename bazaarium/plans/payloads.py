@@ -5,7 +5,9 @@ The SQL states what the reader must find, straight from the table the payload wa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from bazaarium.functions import pricing, text, urls
 from bazaarium.operators import offers, reviews, watches
 from bazaarium.plans import bridge
-from bazaarium.sources import captures, widgets
+from bazaarium.session import shared_dir
+from bazaarium.sources import adapters, captures, widgets
 from bazaarium.streaming import buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,6 +284,26 @@ def backfilled_stubs(spark, sf):
     return found.select("p_partkey", "item_id", "name", F.col("price").cast("double").alias("price"), "rating", "reviews_count", F.size("images").alias("images"), F.col("characteristics")["Тип"].alias("type"), F.size("reviews").alias("reviews"))
 
 
+def _captured_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """Offers that adapters read from a folder of captured payloads of two sources, later than the first day."""
+    k = F.col("p_partkey")
+    day = F.timestamp_seconds(F.lit(1_700_000_000) + F.when(k % 3 == 0, 0).otherwise(86_400))
+    widget = F.to_json(F.struct(F.create_map(F.lit("tileGridDesktop-1"), F.concat(F.lit('{"items": [{"sku": "'), k.cast("string"), F.lit('", "title": "'), F.col("p_name"), F.lit('", "price": "'), F.floor("p_retailprice").cast("string"), F.lit(' ₽", "link": "/p/1", "seller": "'), F.col("p_brand"), F.lit('"}]}'))).alias("widgetStates")))
+    page = _product_page(', "url": "https://m.example/1"')
+    parts = _parts(spark, sf)
+    rows = [parts.select(_page_url().alias("url"), day.alias("captured_at"), payload.alias("payload"), F.lit(kind).alias("kind"), F.lit(source).alias("source")) for payload, kind, source in ((widget, "widgets", "ozon"), (page, "market_pages", "ya_market"), (F.lit("other"), "notes", "ozon"))]
+    path = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    for r in rows:
+        adapters.keep(r, path)
+    return adapters.offers(spark, path, ["ozon", "ya_market"], since=datetime(2023, 11, 14, 22, 13, 21))
+
+
+@query("""SELECT 'ozon' AS source, CAST(p_partkey AS VARCHAR) AS item_id, p_name AS name, floor(p_retailprice) AS price, 'https://www.ozon.ru/p/1' AS url, p_brand AS seller FROM part WHERE p_partkey % 3 <> 0 AND floor(p_retailprice) > 0
+UNION ALL SELECT 'ya_market', NULL, p_name, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE), 'https://m.example/1', NULL FROM part WHERE p_partkey % 3 <> 0 AND p_retailprice > 0""")
+def captured_offers(spark, sf):
+    return _captured_offers(spark, sf).select("source", "item_id", "name", F.col("price").cast("double").alias("price"), "url", "seller")
+
+
 POS = bridge.POS
 
 
