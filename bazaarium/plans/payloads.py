@@ -17,6 +17,7 @@ from bazaarium.operators import offers, reviews, watches
 from bazaarium.plans import bridge
 from bazaarium.session import shared_dir
 from bazaarium.sources import adapters, captures, widgets
+from bazaarium.sources.keyed import KeyedTable
 from bazaarium.streaming import buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,6 +305,23 @@ def captured_offers(spark, sf):
     return _captured_offers(spark, sf).select("source", "item_id", "name", F.col("price").cast("double").alias("price"), "url", "seller")
 
 
+@query("""WITH o AS (SELECT o_custkey AS id, o_orderkey AS n, CAST(o_totalprice AS DOUBLE) AS price, o_orderstatus AS s, o_orderkey % 3 AS part FROM orders),
+  last AS (SELECT id, n, price FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY part DESC, n DESC) = 1),
+  again AS (SELECT id, n, price FROM o WHERE s = 'F' AND id % 14 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1)
+SELECT * FROM last WHERE id % 7 <> 0 UNION ALL SELECT * FROM again""")
+def keyed_rows(spark, sf):
+    """A keyed table after three upserts, a compaction, a deletion and one more upsert."""
+    o = bridge.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("n"), F.col("o_totalprice").cast("double").alias("price"), "o_orderstatus")
+    latest = lambda rows: rows.groupBy("id").agg(F.max(F.struct("n", "price")).alias("r")).select("id", "r.n", "r.price")
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", "id long, n long, price double", ("id",))
+    for part in range(3):
+        table.upsert(latest(o.where(F.col("n") % 3 == part)))
+    table.compact()
+    table.delete(o.select("id").where("id % 7 = 0"))
+    table.upsert(latest(o.where("o_orderstatus = 'F' AND id % 14 = 0")))
+    return table.read()
+
+
 POS = bridge.POS
 
 
