@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from bazaarium import values as V
 from bazaarium.functions import text
 from bazaarium.functions.fuzzy import indel_ratio
+from bazaarium.functions.lemmas import lemma, lemma_of
 
 #: Terms that a typo may be corrected to, in order.
 TERMS = tuple(sorted({*V.BRANDS, *V.BRANDS.values(), *V.PHRASES}))
 
-# Other forms of the words in synonym groups.
+#: Other forms of the words in synonym groups, as the SQL of the catalogue knows them.
 FORMS = {
     "наушниках": "наушники", "наушником": "наушники", "наушников": "наушники", "гарнитуры": "гарнитура", "гарнитуру": "гарнитура",
     "телефона": "телефон", "телефоны": "телефон", "смартфоны": "смартфон", "смартфона": "смартфон", "ноутбуки": "ноутбук",
@@ -29,13 +30,6 @@ FORMS = {
 }
 
 
-def lemma(word: Column) -> Column:
-    """Dictionary form of a word known in FORMS, else the word in lower case."""
-    table = F.create_map(*[F.lit(x) for pair in FORMS.items() for x in pair])
-    low = F.lower(word)
-    return F.coalesce(F.try_element_at(table, low), low)
-
-
 def _terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(TERMS)], "term string, place int")
 
@@ -77,14 +71,14 @@ def corrected(queries: DataFrame, column: str = "cleaned") -> DataFrame:
 def synonym_table(spark: SparkSession) -> DataFrame:
     """(lemma, synonym, group_place): what may stand for a word; the last group a word is in counts."""
     of = {member: group for group in V.SYNONYMS for member in group}
-    rows = [(FORMS.get(m, m), other, i) for m, group in of.items() for i, other in enumerate(group) if FORMS.get(other, other) != FORMS.get(m, m)]
+    rows = [(lemma_of(m), other, i) for m, group in of.items() for i, other in enumerate(group) if lemma_of(other) != lemma_of(m)]
     return spark.createDataFrame(rows, "lemma string, synonym string, group_place int")
 
 
 def synonym_alternates(queries: DataFrame, column: str = "normalized", most: int = 3, lemmatise: Callable[[Column], Column] = lemma) -> DataFrame:
     """(query_id, alternate, note, number) of each query: one word swapped for a synonym at a time, the first ``most``.
 
-    ``lemmatise`` may be any column function that gives a word's dictionary form; the default knows the forms in FORMS.
+    ``lemmatise`` may be any column function that gives a word's dictionary form; the default declines.
     """
     tokens = queries.select("query_id", F.col(column).alias("_whole"), text.split_words(F.col(column)).alias("_all"), F.posexplode(text.split_words(F.col(column))).alias("place", "token"))
     joined = tokens.withColumn("lemma", lemmatise(F.col("token"))).join(F.broadcast(synonym_table(queries.sparkSession)), "lemma")  # a fixed table

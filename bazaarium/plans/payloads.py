@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarium.functions import pricing, text, urls
+from bazaarium.functions import lemmas, pricing, text, urls
 from bazaarium.operators import offers, reviews, watches
 from bazaarium.plans import bridge
 from bazaarium.session import shared_dir
@@ -322,6 +322,20 @@ def keyed_rows(spark, sf):
     return table.read()
 
 
+# Words beside those of the lemmatiser's vocabulary, or forms of its words, and their dictionary forms.
+DECLINED = (
+    ("наушниками", "наушники"), ("гарнитурой", "гарнитура"), ("Смартфонам", "смартфон"), ("ноутбуков", "ноутбук"), ("телевизорах", "телевизор"), ("компьютером", "компьютер"), ("колонок", "колонка"), ("мышей", "мышь"), ("кроссовками", "кроссовки"),
+    ("кедах", "кеды"), ("видеокартами", "видеокарта"), ("планшетов", "планшет"), ("кофемолке", "кофемолка"), ("подъёмниками", "подъёмник"), ("перчатками", "перчатка"), ("выключателей", "выключатель"), ("сканерами", "сканер"), ("тарелками", "тарелка"),
+    ("напильников", "напильник"), ("микросхемами", "микросхема"), ("колыбелями", "колыбель"), ("iPhone", "iphone"), ("тв", "тв"), ("x5", "x5"),
+)
+
+
+@query(f"SELECT p_partkey, w.word, w.lemma FROM part JOIN (VALUES {', '.join(f'({n}, {w!r}, {v!r})' for n, (w, v) in enumerate(DECLINED))}) AS w(n, word, lemma) ON p_partkey % {len(DECLINED)} = n")
+def lemmatised_words(spark, sf):
+    word = F.element_at(F.array(*[F.lit(w) for w, _ in DECLINED]), (F.col("p_partkey") % len(DECLINED) + 1).cast("int"))
+    return _parts(spark, sf).select("p_partkey", word.alias("word")).withColumn("lemma", lemmas.lemma(F.col("word")))
+
+
 POS = bridge.POS
 
 
