@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import id_and_text, slices, small_batches
+from bazaarium.llm.tables import id_and_text, slices, small_batches, tidy
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -67,7 +67,7 @@ def counted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
     src = small_batches(docs).where(docs["lang"].isNotNull()).select(F.coalesce(docs["text"], F.lit("")).alias("text"), docs["lang"])
-    return src.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores = predicted(model, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return id_and_text(docs).mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return id_and_text(docs).mapInArrow(tidy(label), "doc_id long, lang_pred string, score double")
 
 
 def kept(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -146,4 +146,4 @@ def kept(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 langs, scores = predicted(model, [t or "" for t in part.column("text").to_pylist()])
                 yield part.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, numbered, slices, small_batches, written
+from bazaarium.llm.tables import bitmap, flagged, hot_safe_left_join, numbered, slices, small_batches, tidy, written
 
 WINDOW = 2
 #: A chunk ends at one line of so many.
@@ -119,7 +119,7 @@ def _occurrences(keyed: DataFrame, texts: bool, passages: bool) -> DataFrame:
                 kinds = [pa.int64()] * 5 + [pa.string()] * texts
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return keyed.mapInArrow(run, "_id long, _print long, chunk_no long, fp long, fp2 long" + ", chunk string" * texts)
+    return keyed.mapInArrow(tidy(run), "_id long, _print long, chunk_no long, fp long, fp2 long" + ", chunk string" * texts)
 
 
 def removals(docs: DataFrame, passages: bool = False) -> DataFrame:
@@ -174,4 +174,4 @@ def deduplicated(docs: DataFrame, before: str = "lines_before", removed: str = "
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(had, pa.int64()), pa.array(gone_lines, pa.int64())], [*own, "_had", "_lost"])
 
     schema = joined.drop("cut").schema.add("_had", "long").add("_lost", "long")
-    return joined.mapInArrow(run, schema).toDF(*names, before, removed)
+    return joined.mapInArrow(tidy(run), schema).toDF(*names, before, removed)

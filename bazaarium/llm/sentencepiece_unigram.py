@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bazaarium.llm.tables import id_and_text, slices
+from bazaarium.llm.tables import id_and_text, slices, tidy
 
 MARK = "▁"
 #: An uncovered character costs this much more than the worst piece.
@@ -27,7 +27,7 @@ UNCOVERED = 10.0
 #: Words longer than this are cut one at a time.
 WIDE = 40
 #: Remembered words: two generations of so many.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 _words = re.compile(r" *[^ ]+| +$").findall
 
 
@@ -279,7 +279,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, model: bytes) -> DataFrame:
@@ -300,4 +300,4 @@ def decoded(ids: DataFrame, model: bytes) -> DataFrame:
                 crcs.append(zlib.crc32(own.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, text string")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +50,19 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function, after which memory that is free again goes back to the machine: workers live on and share it with other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+        if trim:
+            trim(0)
+
+    return task
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with its columns named c0, c1 and so on, and those names: none clashes with what an operator adds."""
     names = [f"c{i}" for i in range(len(docs.columns))]
