@@ -85,6 +85,16 @@ def plausible(price: Column, most: float = 5_000_000) -> Column:
     return (price > 0) & (price < most)
 
 
+def shown_price(price: Column, currency: Column | None = None) -> Column:
+    """A price (a number or its text) as shown: whole units, halves away from 0, thousands apart by no-break spaces, rubles by their sign.
+
+    A text that is no number stays as it is; null stays null.
+    """
+    unit = F.lit("₽") if currency is None else F.when(F.coalesce(currency, F.lit("RUB")) == "RUB", "₽").otherwise(currency)
+    whole = F.replace(F.format_number(F.round(price.try_cast("decimal(30,6)"), 0), 0), F.lit(","), F.lit("\u00a0"))
+    return F.coalesce(F.concat(whole, F.lit(" "), unit), price.cast("string"))
+
+
 def delta_arrow(pct: Column) -> Column:
     """A change in percent with an arrow."""
     mark = F.when(pct < 0, "↓").when(pct > 0, "↑").otherwise("=")

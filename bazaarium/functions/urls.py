@@ -134,3 +134,9 @@ def feedback_video(key: Column) -> Column:
     """struct(preview, hls) of the links to a review's video kept under ``shard/name``."""
     base = _feedback_host(key, "videofeedback")
     return F.struct(F.concat(base, F.lit("/preview.webp")).alias("preview"), F.concat(base, F.lit("/index.m3u8")).alias("hls"))
+
+
+def allowed_host(host: Column, suffixes: tuple[str, ...] = V.IMAGE_HOSTS) -> Column:
+    """Whether a host is one of those that pictures may come from, or below one."""
+    low = F.lower(host)
+    return F.coalesce(F.array_contains(F.transform(F.array(*[F.lit(s) for s in suffixes]), lambda s: (low == s) | F.endswith(low, F.concat(F.lit("."), s))), True), F.lit(False))

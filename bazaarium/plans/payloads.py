@@ -336,6 +336,37 @@ def lemmatised_words(spark, sf):
     return _parts(spark, sf).select("p_partkey", word.alias("word")).withColumn("lemma", lemmas.lemma(F.col("word")))
 
 
+@query("""SELECT p_partkey AS nm_id, CAST(CASE p_partkey % 4 WHEN 0 THEN 100 + p_size WHEN 1 THEN 200 + p_size WHEN 2 THEN 300 + p_size END AS DOUBLE) AS price_rub FROM part""")
+def card_prices_of_sizes(spark, sf):
+    """Cards whose price stands in their extension, in a size of a colour after what is no object, or nowhere."""
+    k, cents = F.col("p_partkey").cast("string"), (F.col("p_size") * 100 + 99)
+    money = lambda base: (F.lit(base * 100) + cents).cast("string")
+    shapes = [
+        F.concat(F.lit('"clientPriceU": 77700, "extended": {"clientPriceU": 0, "discountPriceU": '), money(100), F.lit("}")),
+        F.concat(F.lit('"colors": [7, {"sizes": ["x", {"price": 5}, {"price": {"product": 0, "basic": '), money(200), F.lit(', "total": 1}}]}, {"sizes": [{"price": {"product": 100}}]}]')),
+        F.concat(F.lit('"colors": [{"sizes": [{"price": {"product": 500000000}}, {"price": {"total": '), money(300), F.lit("}}]}]")),
+        F.lit('"colors": ["red", 3]'),
+    ]
+    shape = F.coalesce(*[F.when(F.col("p_partkey") % 4 == n, s) for n, s in enumerate(shapes)])
+    found = captures.cards(_parts(spark, sf).select(F.concat(F.lit('{"nm_id": '), k, F.lit(", "), shape, F.lit("}")).alias("payload")))
+    return found.select("nm_id", F.col("price_rub").cast("double").alias("price_rub"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'http://i/' || p_partkey WHEN 1 THEN 'data:image/png;x' END AS image,
+  CASE WHEN v >= 1000 THEN CAST(v // 1000 AS VARCHAR) || chr(160) || printf('%03d', v % 1000) ELSE CAST(v AS VARCHAR) END || CASE p_partkey % 2 WHEN 0 THEN ' ₽' ELSE ' USD' END AS shown,
+  p_partkey % 3 = 0 AS allowed FROM (SELECT *, CAST(floor(CAST(p_retailprice AS DECIMAL(12,2)) + 0.5) AS BIGINT) AS v FROM part) WHERE floor(p_retailprice) >= 100 AND v < 1000000""")
+def shown_cards(spark, sf):
+    """Pictures, shown prices and hosts of shopping cards."""
+    p, k = _parts(spark, sf).where("p_retailprice < 999999"), F.col("p_partkey")
+    image = F.when(k % 4 == 0, F.concat(F.lit("http://i/"), k.cast("string"))).when(k % 4 == 1, "data:image/png;x").when(k % 4 == 2, "blob:y")
+    text = F.concat(F.replace(F.format_number(F.floor("p_retailprice"), 0), F.lit(","), F.lit(" ")), F.lit(" ₽"))
+    cards = p.select("p_partkey", F.concat(F.lit("Card "), k.cast("string")).alias("title"), text.alias("text"), F.lit("dns").alias("seller"), k.cast("string").alias("query"), image.alias("image"))
+    found = captures.shopping_offers(cards).select(F.col("query").cast("long").alias("p_partkey"), "image")
+    host = F.when(k % 3 == 0, "Basket-1.WBbasket.ru").when(k % 3 == 1, "notwb.ru").otherwise("ozon.ru.evil.example")
+    said = p.select("p_partkey", pricing.shown_price(F.col("p_retailprice").cast("decimal(12,2)"), F.when(k % 2 == 0, "RUB").otherwise("USD")).alias("shown"), urls.allowed_host(host).alias("allowed"))
+    return found.join(said, "p_partkey")
+
+
 POS = bridge.POS
 
 

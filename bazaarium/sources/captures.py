@@ -18,7 +18,7 @@ from bazaarium.operators.offers import dedup_listing
 
 STUB = "struct<nm: string, id: string, sku: string, name: string, brand: string, url: string, image: string, price_rub: double, price: double, sizes: array<struct<price: struct<total: double, product: double, basic: double>>>, supplier: string, rating: double, feedbacks: int>"
 PAGE = f"hydration array<{STUB}>, jsonld array<{STUB}>, dom array<{STUB}>"
-CARD = "nm_id long, imt_id long, imt_name string, slug string, description string, selling struct<brand_name: string>, subj_root_name string, subj_name string, media struct<photo_count: int, has_video: boolean>, grouped_options array<struct<group_name: string, options: array<struct<name: string, value: string>>>>, options array<struct<name: string, value: string>>, clientPriceU long, discountPriceU long, basicPriceU long"
+CARD = "nm_id long, imt_id long, imt_name string, slug string, description string, selling struct<brand_name: string>, subj_root_name string, subj_name string, media struct<photo_count: int, has_video: boolean>, grouped_options array<struct<group_name: string, options: array<struct<name: string, value: string>>>>, options array<struct<name: string, value: string>>, clientPriceU long, discountPriceU long, basicPriceU long, extended struct<clientPriceU: double, discountPriceU: double, basicPriceU: double>, colors array<string>"
 FEEDBACK_PAGE = "feedbackCount int, feedbackCountWithPhoto int, feedbackCountWithVideo int, valuation string, valuationDistribution map<string, int>, feedbacks array<struct<id: string, nmId: long, productValuation: int, text: string, pros: string, cons: string, color: string, size: string, createdDate: string, votes: struct<pluses: int, minuses: int>, photos: array<struct<id: string, key: string, isReady: boolean>>>>"
 
 
@@ -37,13 +37,26 @@ def catalogue_stubs(captured: DataFrame, payload: str = "payload", *keep: str) -
     return found.where("nm_id IS NOT NULL")
 
 
+def _rubles(kopecks: Column) -> Column:
+    """Whole rubles of a plausible price in kopecks."""
+    return F.when(plausible(kopecks, 500_000_000), F.floor(kopecks / 100))
+
+
+def _size_price(colors: Column) -> Column:
+    """The first plausible price of a size of a colour; what is no object is passed over."""
+    sizes = F.flatten(F.transform(F.coalesce(colors, F.array().cast("array<string>")), lambda c: F.coalesce(F.from_json(c, "sizes array<string>")["sizes"], F.array().cast("array<string>"))))
+    each = F.transform(sizes, lambda s: F.from_json(F.get_json_object(s, "$.price"), "product double, basic double, total double"))
+    prices = F.transform(each, lambda p: _rubles(F.coalesce(*[F.nullif(p[k], F.lit(0.0)) for k in ("product", "basic", "total")])))
+    return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
+
+
 def cards(captured: DataFrame, payload: str = "payload", *keep: str) -> DataFrame:
     """Card details, with options as (group, name, value) triples and the price from any of its fields."""
     c = captured.select(*keep, F.from_json(payload, CARD).alias("c")).where("c.nm_id IS NOT NULL")
     triple = lambda group, o: F.struct(group.alias("group"), o["name"].alias("name"), o["value"].alias("value"))
     grouped = F.flatten(F.transform("c.grouped_options", lambda g: F.transform(g["options"], lambda o: triple(g["group_name"], o))))
     flat = F.transform("c.options", lambda o: triple(F.lit(""), o))
-    price = F.coalesce(*[F.when(plausible(F.col(f"c.{k}"), 500_000_000), F.floor(F.col(f"c.{k}") / 100)) for k in ("clientPriceU", "discountPriceU", "basicPriceU")])
+    price = F.coalesce(*[_rubles(F.col(f"c.{at}{k}")) for at in ("extended.", "") for k in ("clientPriceU", "discountPriceU", "basicPriceU")], _size_price(F.col("c.colors")))
     return c.select(
         *keep, "c.nm_id", "c.imt_id", "c.imt_name", "c.description", F.col("c.selling.brand_name").alias("brand"), F.col("c.subj_root_name").alias("category_root"), F.col("c.subj_name").alias("category"),
         F.col("c.media.photo_count").alias("photo_count"), F.coalesce("c.media.has_video", F.lit(False)).alias("has_video"), F.when(F.size("c.grouped_options") > 0, grouped).otherwise(flat).alias("characteristics"), price.alias("price_rub"),
@@ -122,10 +135,14 @@ def market_offers(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     return found.where("name <> '' AND price > 0 AND url <> ''").withColumn("source", F.lit("ya_market"))
 
 
-def shopping_offers(cards: DataFrame, text: str = "text", title: str = "title", seller: str = "seller", query: str = "query", least: int = 100) -> DataFrame:
-    """Shopping cards (their text, title and seller) as offers: price of ``least`` or more and a seller whose shop is known or not."""
+def shopping_offers(cards: DataFrame, text: str = "text", title: str = "title", seller: str = "seller", query: str = "query", least: int = 100, image: str = "image") -> DataFrame:
+    """Shopping cards (their text, title and seller) as offers: price of ``least`` or more and a seller whose shop is known or not.
+
+    A picture, where the cards have any, is kept if it is a link or the picture itself (a data link).
+    """
     body, name = F.col(text), F.trim(F.col(title))
-    found = cards.select(F.col(query).alias("query"), name.alias("name"), numbers.ruble_price(body).cast("decimal(12,2)").alias("price"), F.col(seller).alias("seller"), numbers.card_rating(body).alias("rating"), numbers.card_reviews(body).cast("int").alias("reviews_count"), numbers.title_attributes(name, body).alias("characteristics"), urls.seller_link(F.col(seller), name).alias("url"))
+    picture = F.when(F.col(image).rlike("^(http|data:image)"), F.col(image)) if image in cards.columns else F.lit(None).cast("string")
+    found = cards.select(F.col(query).alias("query"), name.alias("name"), numbers.ruble_price(body).cast("decimal(12,2)").alias("price"), F.col(seller).alias("seller"), numbers.card_rating(body).alias("rating"), numbers.card_reviews(body).cast("int").alias("reviews_count"), numbers.title_attributes(name, body).alias("characteristics"), urls.seller_link(F.col(seller), name).alias("url"), picture.alias("image"))
     return found.where((F.col("price") >= least) & (F.coalesce("seller", F.lit("")) != "") & (F.length("name") >= 4)).withColumn("source", F.lit("runet"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarium.functions import urls
+
 
 def write_snapshot(df: DataFrame, path: str, now: Column, fresh_s: int, stale_s: int) -> None:
     """Append rows with the times until which they are fresh and may be served stale."""
@@ -37,6 +39,6 @@ def observed(offers: DataFrame, name: str = "offers") -> tuple[DataFrame, Observ
 
 
 def image_cache_keys(offers: DataFrame) -> DataFrame:
-    """(source, image, key) of the pictures that may be kept, by source and link."""
-    distinct = offers.where(F.col("image").rlike("^https?://")).select("source", "image").distinct()
+    """(source, image, key) of the pictures that may be kept, by source and link: those on an allowed host."""
+    distinct = offers.where(F.col("image").rlike("^https?://") & urls.allowed_host(urls.host(F.col("image")))).select("source", "image").distinct()
     return distinct.withColumn("key", F.concat_ws("/", "source", F.sha1("image")))

@@ -132,3 +132,9 @@ CONTROL_TEXTS = (
     "написать отзыв", "все отзывы", "оплатить", "выбрать", "сортировка", "фильтр",
 )
 REVIEW_WIDGETS = ("weblistreviews", "webreviewlist", "weblistreviewsv2", "reviewshelfpaginator", "weblistcomments")
+
+# Hosts that pictures may come from, with all below them.
+IMAGE_HOSTS = (
+    "wbbasket.ru", "wb.ru", "wildberries.ru", "ozone.ru", "ozon.ru", "ozonusercontent.com", "ozcdn.com", "yandex.net", "yastatic.net", "yandex.ru", "gstatic.com", "googleusercontent.com",
+    "re-store.ru", "biggeek.ru", "dns-shop.ru", "mvideo.ru", "citilink.ru", "cmstore.ru", "kingstore.link", "apple-market.ru", "stores-apple.com",
+)
