@@ -465,6 +465,11 @@ def search_stream(spark, sf):
     return streamed.search_outcomes(spark, sf)
 
 
+@query
+def running_counters(spark, sf):
+    return streamed.running_counters(spark, sf)
+
+
 @query
 def price_series_stream(spark, sf):
     return streamed.price_series(spark, sf)

@@ -176,6 +176,9 @@ UNION ALL SELECT query_id, 'source_finished', s.source, NULL, NULL, NULL, 0, NUL
 UNION ALL SELECT query_id, 'top_deal', source, rank, printf('%012d-%012d-%012d-%012d', l_orderkey, l_linenumber, l_partkey, l_suppkey), score, NULL, NULL, NULL, NULL, NULL, NULL FROM ({_TOP_TEN})
 UNION ALL SELECT query_id, 'done', NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, 1 FROM offers GROUP BY 1)""", SCORED
     ),
+    "running_counters": _offers(
+        "SELECT n AS part, coalesce(source, 'offers') AS counter, count(*) AS offers FROM (SELECT DISTINCT n, query_id, url, source FROM offers JOIN (VALUES (0), (1), (2)) AS parts(n) ON l_orderkey % 3 <= n) GROUP BY GROUPING SETS ((n), (n, source))"
+    ),
     "price_series_stream": _with(POINTS_SQL, body=f"SELECT source, item_id, ts, {P} AS price, row_number() OVER (PARTITION BY source, item_id ORDER BY ts, price) AS place FROM (SELECT * FROM points WHERE price > 0 QUALIFY row_number() OVER (PARTITION BY source, item_id ORDER BY ts DESC, price DESC) <= 200)"),
     "price_alerts_stream": _with(CHECKS_SQL, body="SELECT watch_id, check_id, round(d, 4) AS diff_pct FROM (SELECT *, (CAST(best_price AS DOUBLE) - CAST(prev AS DOUBLE)) / CAST(prev AS DOUBLE) * 100 AS d FROM (SELECT *, lag(best_price) OVER (PARTITION BY watch_id ORDER BY check_ts, check_id) AS prev FROM checks WHERE best_price IS NOT NULL) WHERE prev > 0) WHERE abs(d) >= 2"),
     "parsed_pages": r"SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld.json[^>]*>')) AS blocks, contains(lower(html), '<title') AS titled, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages",

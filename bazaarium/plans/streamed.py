@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bazaarium.functions import pricing
 from bazaarium.plans import bridge
 from bazaarium.session import shared_dir
-from bazaarium.streaming import stateful, streams
+from bazaarium.streaming import counters, stateful, streams
 
 
 def _folder(spark: SparkSession) -> str:
@@ -95,6 +95,15 @@ def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.unionByName(done).withColumns({c: F.col(c).cast("double") for c in ("rank", "offers", "in_order")})
 
 
+def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after each of three parts of the offers, in which links come again."""
+    o = bridge.offers(spark, sf_dir).select("query_id", "source", "url", (F.col("l_orderkey") % 3).alias("part"))
+    parts = [o.where(F.col("part") == n).select("query_id", "source", "url", F.timestamp_seconds(F.lit(1_700_000_000 + 60 * n)).alias("fetched_at")) for n in range(3)]
+    with counters.counting(spark) as seen:
+        _run_parts(parts, counters.counted_offers)
+    return spark.createDataFrame([(n, k, v) for n, after in enumerate(seen.after) for k, v in after.items()], "part long, counter string, offers long")
+
+
 def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of the event stream as they are after its last part, the newest 200 points of each."""
     p = bridge.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("item_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(12,2)").alias("price"), "event_id")
