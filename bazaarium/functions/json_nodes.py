@@ -56,7 +56,8 @@ def walk(rows: DataFrame, keep: list[str], text: str, only: tuple[str, ...] = ()
     """
     parses = rows.select(*keep, F.col(text).alias("_text")).where(F.try_parse_json("_text").isNotNull())
     found = parses.lateralJoin(JsonObjects(F.col("_text").outer(), F.lit(",".join(only))))
-    return found.select(*keep, "at", F.parse_json("object").alias("node"))
+    # Exploded, so that what reads the node's fields does not parse it anew for each.
+    return found.select(*keep, "at", F.explode(F.array(F.parse_json("object"))).alias("node"))
 
 
 def links(value: str | None, keys: tuple[str, ...]) -> list[str]:

@@ -43,30 +43,37 @@ def objects(states: DataFrame, *keep: str) -> DataFrame:
     return found.select(*keep, "widget", F.struct("pos", "at").alias("place"), "node")
 
 
-def _named(node: Column) -> Column:
-    """(name, value) of an object that is a named value, else null; page controls are none."""
-    name = F.coalesce(*[rich_text(node, f"$.{k}") for k in ("title", "name", "label", "titleRs")])
+def _with_named(found: DataFrame) -> DataFrame:
+    """Add ``named``: (name, value) of an object that is a named value, else null; page controls are none.
+
+    Step by step, so that what one step finds is not found anew by the next; only objects with a name and values go on.
+    """
+    node = F.col("node")
+    names = [rich_text(node, f"$.{k}") for k in ("title", "name", "label", "titleRs")]
     values = F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in ("values", "subtitleRs", "subtitle")])
-    listed = F.from_json(F.to_json(values), "array<string>")
 
     def item(v: Column) -> Column:
         runs = F.array_join(F.transform(F.from_json(F.get_json_object(v, "$.textRs"), "array<struct<content: string>>"), lambda r: r["content"]), " ")
-        plain = F.when(~F.startswith(v, F.lit("{")), v)
-        return F.coalesce(*[_empty(c) for c in (F.get_json_object(v, "$.text"), runs, F.get_json_object(v, "$.content"), F.get_json_object(v, "$.value"), plain)])
-
-    texts = F.filter(F.transform(listed, item), lambda t: t.isNotNull())
-    control = F.coalesce((F.size(texts) == 1) & F.lower(texts[0]).isin(*V.CONTROL_VALUES), F.lit(False))
-    alone = F.coalesce(rich_text(values), field(values, "$.value"))
-    name, value = F.trim(name), F.trim(F.when(listed.isNotNull() & (F.size(texts) > 0), F.array_join(texts, ", ")).otherwise(F.when(is_object(values), alone)))
+        inner = F.coalesce(*[_empty(c) for c in (F.get_json_object(v, "$.text"), runs, F.get_json_object(v, "$.content"), F.get_json_object(v, "$.value"))])
+        return F.when(F.startswith(v, F.lit("{")), inner).otherwise(_empty(v))
+
+    step = found.withColumn("_values", values).withColumn("_name", F.when(F.col("_values").isNotNull(), F.trim(F.coalesce(*names))))
+    named, v = F.col("_name") != "", F.col("_values")
+    step = step.withColumn("_listed", F.when(named, F.from_json(F.to_json(v), "array<string>")))
+    step = step.withColumn("_texts", F.filter(F.transform("_listed", item), lambda t: t.isNotNull()))
+    alone = F.when(named & F.col("_listed").isNull() & is_object(v), F.coalesce(rich_text(v), field(v, "$.value")))
+    step = step.withColumn("_value", F.trim(F.when(F.size("_texts") > 0, F.array_join("_texts", ", ")).otherwise(alone)))
+    value, texts = F.col("_value"), F.col("_texts")
+    control = F.coalesce((F.size(texts) == 1) & F.lower(F.get(texts, F.lit(0))).isin(*V.CONTROL_VALUES), F.lit(False))
     spaces = F.length(value) - F.length(F.replace(value, F.lit(" "), F.lit("")))
-    fit = (name != "") & (value != "") & (F.length(name) <= 100) & (F.length(value) <= 500) & (spaces <= 25) & ~control & ~F.lower(name).isin(*V.CONTROL_NAMES)
-    return F.when(fit, F.struct(name.alias("name"), value.alias("value")))
+    fit = named & (value != "") & (F.length("_name") <= 100) & (F.length(value) <= 500) & (spaces <= 25) & ~control & ~F.lower("_name").isin(*V.CONTROL_NAMES)
+    return step.withColumn("named", F.when(fit, F.struct(F.col("_name").alias("name"), value.alias("value")))).drop("_values", "_name", "_listed", "_texts", "_value")
 
 
 def name_values(states: DataFrame, *keep: str) -> DataFrame:
     """(``keep``, widget, place, name, value) of the named values in widgets, wherever they stand; page controls left out."""
-    found = objects(states, *keep).select(*keep, "widget", "place", _named(F.col("node")).alias("_n"))
-    return found.where("_n IS NOT NULL").select(*keep, "widget", "place", "_n.name", "_n.value")
+    found = _with_named(objects(states, *keep))
+    return found.where("named IS NOT NULL").select(*keep, "widget", "place", "named.name", "named.value")
 
 
 def _first_named(pairs: Column) -> Column:
@@ -126,7 +133,7 @@ def pages(states: DataFrame, *keep: str, reviews: int = 5) -> DataFrame:
     aggregate; a group holds what one page's text does.
     """
     node, w = F.col("node"), F.col("widget")
-    n = objects(states, *keep)
+    n = _with_named(objects(states, *keep))
     root, place = F.col("place.at") == F.min("place.at").over(W.partitionBy(*keep, "place.pos")), F.col("place")
     price = numbers.digits_price(F.coalesce(*[rich_text(node, f"$.{k}") for k in ("cardPrice", "price", "finalPrice")]))
     listed = F.from_json(F.to_json(F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in ("images", "coverImage")])), "array<string>")
@@ -138,7 +145,7 @@ def pages(states: DataFrame, *keep: str, reviews: int = 5) -> DataFrame:
         "price": (w.contains("webPrice") | w.startswith("webOzonAccountPrice"), price), "rating": (w.startswith("webReviewProductScore"), rating),
         "reviews_count": (w.startswith("webReviewProductScore"), field(node, "$.reviewsCount").try_cast("int")), "images": (w.startswith("webGallery"), images),
     }
-    said = n.select(*keep, "place", *[F.when(root & of, value).alias(name) for name, (of, value) in facts.items()], _named(node).alias("named"), _review(node, w).alias("review"))
+    said = n.select(*keep, "place", *[F.when(root & of, value).alias(name) for name, (of, value) in facts.items()], "named", _review(node, w).alias("review"))
     first = [F.min_by(name, F.when(F.col(name).isNotNull(), place)).alias(name) for name in facts if name != "images"]
     gallery = F.array_sort(F.collect_list(F.when(F.col("images").isNotNull(), F.struct("place", "images"))))
     return said.groupBy(*keep).agg(
