@@ -5,6 +5,7 @@ Results are flat and fixed to a few digits, so that they can be held against SQL
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from bazaarium.functions import numbers, pricing, text, urls
 from bazaarium.operators import facets, history, nmck, normalize, offers, reviews, watches
 from bazaarium.plans import bridge, captured, payloads, streamed
+from bazaarium.session import shared_dir
+from bazaarium.sources import workbooks
 from bazaarium.streaming import buckets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +211,23 @@ def nmck_sheet_chosen(spark, sf):
     return nmck.sheets(bridge.offers(spark, sf), 3)[0].select("query_id", "number", "source_label", "seller", F.col("price").cast("double").alias("price"), "n_offers")
 
 
+@query
+def nmck_workbooks(spark, sf):
+    """Workbooks written for all queries and read back: the formulas of each, and what its sheets hold."""
+    path = f"{shared_dir(spark)}/workbooks-{uuid.uuid4().hex}"
+    workbooks.write_workbooks(*nmck.sheets(bridge.offers(spark, sf), 3), path, 3)
+    cells, at = workbooks.read_workbooks(spark, path), lambda row, place: (F.col("row") == row) & (F.col("place") == place)
+    summary, number = F.col("sheet") == workbooks.SUMMARY, F.col("value").try_cast("double")
+    formula = lambda word: F.max(F.when(summary & F.col("formula").startswith(word), F.col("formula")))
+    rows = F.col("place") == 1
+    return cells.groupBy("file").agg(
+        F.max(F.when(summary & at(1, 1), F.col("value"))).alias("query_id"), formula("AVERAGE").alias("mean"), formula("STDEV").alias("deviation"),
+        F.count_if(summary & rows & (F.col("row") > 2)).cast("double").alias("chosen"), F.count_if(~summary & rows & (F.col("row") > 1)).cast("double").alias("offers"),
+        F.round(F.sum(F.when(summary & (F.col("place") == 3) & (F.col("row") > 2), number)), 2).cast("double").alias("chosen_sum"),
+        F.round(F.sum(F.when(~summary & (F.col("place") == 5) & (F.col("row") > 1), number)), 2).alias("offers_sum"),
+    ).drop("file")
+
+
 @query
 def nmck_sheet_all(spark, sf):
     return nmck.sheets(bridge.offers(spark, sf), 3)[1].select("query_id", "number", "source_label", "seller", F.col("price").cast("double").alias("price"))

@@ -125,6 +125,10 @@ ORACLES: dict[str, str] = {
         NMCK % "nullif(rating, 0)",
     ),
     "nmck_statistics_rounded": _offers(f"SELECT query_id, count(*) AS n_offers, round(avg({P}), 2) AS mean, round(stddev_samp({P}), 2) AS stdev, round(stddev_samp({P}) / avg({P}) * 100, 2) AS cv_pct, stddev_samp({P}) / avg({P}) * 100 <= 33 AS homogeneous FROM chosen GROUP BY 1 HAVING count(*) >= 3", NMCK % "rating"),
+    "nmck_workbooks": _offers(
+        f"""SELECT query_id, CASE WHEN n >= 3 THEN 'AVERAGE(C3:C' || (n + 2) || ')' END AS mean, CASE WHEN n >= 3 THEN 'STDEV(C3:C' || (n + 2) || ')' END AS deviation, CAST(CASE WHEN n >= 3 THEN n ELSE 0 END AS DOUBLE) AS chosen,
+  CAST(m AS DOUBLE) AS offers, CASE WHEN n >= 3 THEN s END AS chosen_sum, t AS offers_sum FROM (SELECT query_id, count(*) AS n, round(sum({P}), 2) AS s FROM chosen GROUP BY 1) JOIN (SELECT query_id, count(*) AS m, round(sum({P}), 2) AS t FROM offers GROUP BY 1) USING (query_id)""", NMCK % "rating"
+    ),
     "nmck_sheet_chosen": _offers(f"SELECT query_id, number, list_extract(map_extract({LABELS}, source), 1) AS source_label, seller, {P} AS price, count(*) OVER (PARTITION BY query_id) AS n_offers FROM chosen", NMCK % "rating"),
     "nmck_sheet_all": _offers(f"SELECT query_id, source_label, seller, {P} AS price, row_number() OVER (PARTITION BY query_id ORDER BY source_label, price, {ID}, price) AS number FROM (SELECT *, list_extract(map_extract({LABELS}, source), 1) AS source_label FROM offers)"),
     "facets_builtin": _offers(
