@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,17 @@ from bazaarium.operators.reviews import breakdown
 __all__ = ["clarify", "compare_offers", "explain_context", "facets", "get_price_history", "get_reviews_sample", "get_top_deals", "nmck_report", "search", "search_products", "sentiment", "watch_alerts"]
 
 
-def search(offers_table: DataFrame, queries: DataFrame, max_per_source: int = 10, sources: list[str] | None = None, region_id: int = 213, fix: bool = True) -> dict[str, DataFrame]:
-    """Groups and best deals for (query_id, raw): the queries normalised, offers limited, priced for the region and scored."""
+def search(offers_table: DataFrame, queries: DataFrame, max_per_source: int = 10, sources: list[str] | None = None, region_id: int = 213, fix: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Groups and best deals for (query_id, raw): the queries normalised, offers limited, priced for the region and scored.
+
+    ``keep`` may hold the scored offers for the tables made of them: ``DataFrame.persist``, ``DataFrame.checkpoint`` or a written table.
+    """
     if not 1 <= max_per_source <= 50:
         raise ValueError("max_per_source is 1 to 50")
     asked = normalize.normalized(queries, fix)
     found = offers.per_source_limit(offers.select_sources(offers_table, sources), max_per_source).join(asked.select("query_id", F.col("raw").alias("query")), "query_id")
     found = offers.for_region(found, F.lit(region_id)).withColumn("price", F.col("regional_price"))
-    found = offers.with_relevance(found, "query")
+    found = (keep or (lambda table: table))(offers.with_relevance(found, "query"))
     return {"queries": asked, "offers": found, "groups": offers.group_stats(found), "top_deals": offers.best_deals(found)}
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bazaarium.functions import numbers, pricing, text, urls
 from bazaarium.operators import facets, history, nmck, normalize, offers, reviews, watches
-from bazaarium.plans import bridge, captured, payloads, streamed
+from bazaarium.plans import bridge, captured, extras, payloads, streamed  # noqa: F401
 from bazaarium.session import shared_dir
 from bazaarium.sources import workbooks
 from bazaarium.streaming import buckets

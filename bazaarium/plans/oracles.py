@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bazaarium import values as V
 from bazaarium.operators.normalize import FORMS, TERMS
-from bazaarium.plans import payloads
+from bazaarium.plans import extras, payloads  # noqa: F401
 from bazaarium.plans.bridge import CHECKS_SQL, OFFERS_SQL, POINTS_SQL, POS, QUERIES_SQL, REVIEWS_SQL, WATCHES_SQL
 
 ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
