@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     A local master, as in tests, may do without that setting; elsewhere its lack is an error, as files would be lost.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or "file:///tmp/checkpoints/bazaarium").rstrip("/")
 
