@@ -40,10 +40,14 @@ def compare(items: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def sparkline(points: DataFrame) -> DataFrame:
-    """Series of two points or more: first and last price, change in percent and trend (good below -2, bad above 2)."""
+    """Series of two points or more: first and last price, change in percent and trend (good below -2, bad above 2).
+
+    From a first price of 0 the change is infinite, or not a number if the last is 0 too; both count as above 2.
+    """
     at = F.struct("ts", "price")
     found = points.groupBy(*KEY).agg(F.count("*").alias("points"), F.min_by("price", at).cast("double").alias("first_price"), F.max_by("price", at).cast("double").alias("last_price"))
-    diff = (F.col("last_price") - F.col("first_price")) / F.col("first_price") * 100
+    first, rise = F.col("first_price"), F.col("last_price") - F.col("first_price")
+    diff = F.when(first == 0, rise * F.lit(float("inf"))).otherwise(rise / first * 100)
     trend = F.when(diff < -2, "good").when(diff > 2, "bad").otherwise("flat")
     return found.where("points >= 2").withColumn("diff_pct", diff).withColumn("trend", trend)
 
