@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,14 @@ def host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
+def below(h: Column, names: tuple[str, ...]) -> Column:
+    """Whether a host is one of ``names`` or lies below one; false for null.  The host stands in it once, so it is found once a row."""
+    return F.coalesce(h.rlike(rf"(^|\.)({'|'.join(re.escape(n) for n in names)})\z"), F.lit(False))
+
+
 def excluded_host(url: Column) -> Column:
     """Whether the host is one that other sources cover, or lies below one."""
-    h, out = host(url), F.lit(False)
-    for name in V.EXCLUDED_HOSTS:
-        out = out | (h == name) | F.endswith(h, F.lit("." + name))
-    return F.coalesce(out, F.lit(False))
+    return below(host(url), V.EXCLUDED_HOSTS)
 
 
 def shard(nm_id: Column) -> Column:
@@ -138,5 +142,4 @@ def feedback_video(key: Column) -> Column:
 
 def allowed_host(host: Column, suffixes: tuple[str, ...] = V.IMAGE_HOSTS) -> Column:
     """Whether a host is one of those that pictures may come from, or below one."""
-    low = F.lower(host)
-    return F.coalesce(F.array_contains(F.transform(F.array(*[F.lit(s) for s in suffixes]), lambda s: (low == s) | F.endswith(low, F.concat(F.lit("."), s))), True), F.lit(False))
+    return below(F.lower(host), suffixes)

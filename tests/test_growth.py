@@ -19,3 +19,15 @@ def test_sparkline_from_a_price_of_nothing(spark):
     found = {r.item_id: r for r in history.sparkline(rows).collect()}
     assert found["a"].diff_pct == math.inf and math.isnan(found["b"].diff_pct) and found["c"].diff_pct == 25
     assert [found[k].trend for k in "abc"] == ["bad"] * 3
+
+
+def test_hosts_are_found_once_a_row(spark):
+    links = spark.range(3).select(F.concat(F.lit("https://img"), F.col("id").cast("string"), F.lit(".ozon.ru/x")).alias("u"))
+    for found in (urls.excluded_host(F.col("u")), urls.allowed_host(urls.host(F.col("u")))):
+        assert plan(links.select(found.alias("x"))).count("ParseUrlEvaluator") == 1
+
+
+def test_hosts_and_those_below(spark):
+    names = ["ozon.ru", "img.OZON.ru", "fakeozon.ru", "ozon.ru.evil.example", "ozonxru", "ozon.ru\n", None]
+    rows = spark.createDataFrame([(n, h) for n, h in enumerate(names)], "n int, h string")
+    assert [r.x for r in rows.orderBy("n").select(urls.allowed_host(F.col("h")).alias("x")).collect()] == [True, True] + [False] * 5
