@@ -56,14 +56,23 @@ def history_url(nm_id: Column) -> Column:
     return F.concat(_basket(nm_id), F.lit("/info/price-history.json"))
 
 
+def _crc_of(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (byte & 1) * 0xA001
+    return byte
+
+
+#: CRC-16 of each byte.
+_CRC = [_crc_of(n) for n in range(256)]
+
+
 def crc16(value: Column) -> Column:
-    """CRC-16 (reflected 0xA001, start 0) of the 8 little-endian bytes of a long."""
+    """CRC-16 (reflected 0xA001, start 0) of the 8 little-endian bytes of a long, a byte at a time by table."""
+    table = F.lit(_CRC)
+
     def fold(crc: Column, i: Column) -> Column:
-        byte = F.call_function("shiftrightunsigned", value, (i * 8).cast("int")).bitwiseAND(255)
-        out = crc.bitwiseXOR(byte)
-        for _ in range(8):
-            out = F.shiftright(out, 1).bitwiseXOR(out.bitwiseAND(1) * 0xA001)
-        return out
+        low = crc.bitwiseXOR(F.call_function("shiftrightunsigned", value, (i * 8).cast("int"))).bitwiseAND(255)
+        return F.shiftright(crc, 8).bitwiseXOR(F.get(table, low.cast("int")).cast("long"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), fold)
 

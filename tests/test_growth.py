@@ -31,3 +31,23 @@ def test_hosts_and_those_below(spark):
     names = ["ozon.ru", "img.OZON.ru", "fakeozon.ru", "ozon.ru.evil.example", "ozonxru", "ozon.ru\n", None]
     rows = spark.createDataFrame([(n, h) for n, h in enumerate(names)], "n int, h string")
     assert [r.x for r in rows.orderBy("n").select(urls.allowed_host(F.col("h")).alias("x")).collect()] == [True, True] + [False] * 5
+
+
+def test_crc_is_small_and_right(spark):
+    def plain(value):
+        crc = 0
+        for byte in value.to_bytes(8, "little", signed=True):
+            crc ^= byte
+            for _ in range(8):
+                crc = crc >> 1 ^ (crc & 1) * 0xA001
+        return crc
+
+    values = [0, 1, 777, -1, 255, 1 << 40, -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", urls.crc16(F.col("v")).alias("crc"))
+    assert {r.v: r.crc for r in rows.collect()} == {v: plain(v) for v in values}
+    assert plan(rows).count("shiftright") < 10
+
+
+def test_shards_of_three_digits_are_whole(spark):
+    nm = spark.range(1).select(F.lit(2_766_134_739).alias("nm"))
+    assert nm.select(urls.shard(F.col("nm")).alias("s")).first().s == "100"
