@@ -29,7 +29,7 @@ def nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("url",)
     Lists are gone through; of a node's values only those under NESTED keys.
     """
     start = pages.select(*keep, F.explode(blocks(F.col(html))).alias("_block"))
-    return json_nodes.walk(start, list(keep), "_block", NESTED).drop("at")
+    return json_nodes.walk(start, list(keep), "_block", NESTED).drop("at", "first")
 
 
 def is_product(node: Column) -> Column:

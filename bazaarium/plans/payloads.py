@@ -35,7 +35,8 @@ def query(sql: str):
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    return bridge.table(spark, sf, "part")
+    """Parts, dealt out evenly: a row is small and its payload is not, and a file's groups of rows, which a task reads whole, may be few."""
+    return bridge.table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _json(**fields: Column) -> Column:

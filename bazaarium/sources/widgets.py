@@ -5,10 +5,9 @@ Payloads are JSON objects whose ``widgetStates`` are JSON texts by widget name;
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarium import values as V
@@ -28,19 +27,22 @@ def rich_text(node: Column, path: str = "$") -> Column:
     """Text of a node: itself, the contents of its runs joined by spaces, or its text or content; null without any."""
     runs = F.from_json(F.to_json(F.coalesce(F.try_variant_get(node, f"{path}.textRs", "variant"), F.try_variant_get(node, path, "variant"))), "array<struct<content: string>>")
     joined = F.array_join(F.filter(F.transform(runs, lambda r: r["content"]), lambda c: F.coalesce(c, F.lit("")) != ""), " ")
-    return F.coalesce(_empty(field(node, path)), _empty(joined), _empty(field(node, f"{path}.text")), _empty(field(node, f"{path}.content")))
+    said = F.coalesce(_empty(field(node, path)), _empty(joined), _empty(field(node, f"{path}.text")), _empty(field(node, f"{path}.content")))
+    # Most objects lack most paths: one look then, not one for each of these shapes.
+    return F.when(F.try_variant_get(node, path, "variant").isNotNull(), said)
 
 
 def widget_states(captured: DataFrame, payload: str = "payload", *keep: str) -> DataFrame:
     """(``keep``, widget, pos, state) of the widgets of each page in the order of the text; states that do not parse go with the walk."""
     states = F.from_json(F.col(payload), "widgetStates map<string, string>")["widgetStates"]
-    return captured.select(*keep, F.posexplode(F.map_entries(states)).alias("pos", "_e")).select(*keep, F.col("_e.key").alias("widget"), "pos", F.col("_e.value").alias("state"))
+    # Outer, as Spark filters what a plain one explodes beforehand, which parses each payload twice more.
+    return captured.select(*keep, F.posexplode_outer(F.map_entries(states)).alias("pos", "_e")).where("_e IS NOT NULL").select(*keep, F.col("_e.key").alias("widget"), "pos", F.col("_e.value").alias("state"))
 
 
 def objects(states: DataFrame, *keep: str) -> DataFrame:
-    """(``keep``, widget, place, node) of each object in widgets, at any depth; ``place`` orders them as the page does."""
+    """(``keep``, widget, place, first, node) of each object in widgets, at any depth; ``place`` orders them as the page does, ``first`` marks a widget's first."""
     found = walk(states, [*keep, "widget", "pos"], "state")
-    return found.select(*keep, "widget", F.struct("pos", "at").alias("place"), "node")
+    return found.select(*keep, "widget", F.struct("pos", "at").alias("place"), "first", "node")
 
 
 def _with_named(found: DataFrame) -> DataFrame:
@@ -64,9 +66,9 @@ def _with_named(found: DataFrame) -> DataFrame:
     alone = F.when(named & F.col("_listed").isNull() & is_object(v), F.coalesce(rich_text(v), field(v, "$.value")))
     step = step.withColumn("_value", F.trim(F.when(F.size("_texts") > 0, F.array_join("_texts", ", ")).otherwise(alone)))
     value, texts = F.col("_value"), F.col("_texts")
-    control = F.coalesce((F.size(texts) == 1) & F.lower(F.get(texts, F.lit(0))).isin(*V.CONTROL_VALUES), F.lit(False))
+    control = F.coalesce((F.size(texts) == 1) & _one_of(F.get(texts, F.lit(0)), V.CONTROL_VALUES), F.lit(False))
     spaces = F.length(value) - F.length(F.replace(value, F.lit(" "), F.lit("")))
-    fit = named & (value != "") & (F.length("_name") <= 100) & (F.length(value) <= 500) & (spaces <= 25) & ~control & ~F.lower("_name").isin(*V.CONTROL_NAMES)
+    fit = named & (value != "") & (F.length("_name") <= 100) & (F.length(value) <= 500) & (spaces <= 25) & ~control & ~_one_of(F.col("_name"), V.CONTROL_NAMES)
     return step.withColumn("named", F.when(fit, F.struct(F.col("_name").alias("name"), value.alias("value")))).drop("_values", "_name", "_listed", "_texts", "_value")
 
 
@@ -86,9 +88,22 @@ def characteristics(states: DataFrame, *keep: str) -> DataFrame:
     return name_values(states, *keep).groupBy(*keep).agg(_first_named(F.collect_list(F.struct("place", "name", "value"))).alias("characteristics"))
 
 
-def _review(node: Column, widget: Column) -> Column:
-    """(author, score, text, published_at, photos) of an object that is a review, else null."""
-    body = F.trim(F.coalesce(*[rich_text(node, f"$.{p}") for p in ("text", "comment", "body", "content.comment.text", "content.comment", "review.text")]))
+def _of_reviews(widget: Column) -> Column:
+    return widget.rlike(f"(?iu)^({'|'.join(re.escape(prefix) for prefix in V.REVIEW_WIDGETS)})")
+
+
+def _one_of(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text is one of ``words`` whatever its case; longer ones are not lowered."""
+    return (F.length(text) <= max(map(len, words))) & F.lower(text).isin(*words)
+
+
+def _with_review(found: DataFrame) -> DataFrame:
+    """Add ``review``: (author, score, text, published_at, photos) of an object that is a review, else null.
+
+    Its text is found first, once and in widgets of reviews alone; only objects with a fit one go on.
+    """
+    node, body = F.col("node"), F.col("_body")
+    given = F.trim(F.coalesce(*[rich_text(node, f"$.{p}") for p in ("text", "comment", "body", "content.comment.text", "content.comment", "review.text")]))
     author = F.coalesce(*[_empty(field(node, f"$.{p}")) for p in ("author", "authorName", "userName", "user.name", "author.name", "author.title")])
     score = F.coalesce(*[F.nullif(field(node, f"$.{p}").try_cast("double"), F.lit(0.0)) for p in ("score", "rating", "itemRating", "content.score")]).cast("int")
     published = F.coalesce(*[rich_text(node, f"$.{p}") for p in ("publishedAt", "createdAt", "date", "publicationDate", "content.publishedAt")])
@@ -100,9 +115,9 @@ def _review(node: Column, widget: Column) -> Column:
 
     every = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
     photos = F.slice(F.array_distinct(F.filter(F.transform(every, link), lambda u: u.rlike("^https?://"))), 1, REVIEW_PHOTOS)
-    of_reviews = reduce(lambda a, b: a | b, [F.startswith(F.lower(widget), F.lit(prefix)) for prefix in V.REVIEW_WIDGETS])
-    fit = of_reviews & (F.length(body) >= REVIEW_LEAST) & ~F.lower(body).isin(*V.CONTROL_TEXTS)
-    return F.when(fit, F.struct(author.alias("author"), score.alias("score"), body.alias("text"), published.alias("published_at"), photos.alias("photos")))
+    fit = (F.length(body) >= REVIEW_LEAST) & ~_one_of(body, V.CONTROL_TEXTS)
+    review = F.when(fit, F.struct(author.alias("author"), score.alias("score"), body.alias("text"), published.alias("published_at"), photos.alias("photos")))
+    return found.withColumn("_body", F.when(_of_reviews(F.col("widget")), given)).withColumn("review", review).drop("_body")
 
 
 def _first_reviews(found: Column, limit: int) -> Column:
@@ -121,8 +136,9 @@ def widget_reviews(states: DataFrame, *keep: str, limit: int = 5) -> DataFrame:
     where that stands outside.  Texts have REVIEW_LEAST characters at least and are cut at REVIEW_CHARS; of equal authors and beginnings the
     first stays; photos are links, each once, REVIEW_PHOTOS at most.
     """
-    found = objects(states, *keep).select(*keep, "place", _review(F.col("node"), F.col("widget")).alias("review")).where("review IS NOT NULL")
-    pages = found.groupBy(*keep).agg(_first_reviews(F.collect_list(F.struct("place", "review")), limit).alias("_r"))
+    # No filter by review: it would be pushed below the step that finds it, which would then run twice.
+    found = _with_review(objects(states.where(_of_reviews(F.col("widget"))), *keep))
+    pages = found.groupBy(*keep).agg(_first_reviews(F.collect_list(F.when(F.col("review").isNotNull(), F.struct("place", "review"))), limit).alias("_r"))
     return pages.select(*keep, F.inline("_r"))
 
 
@@ -133,8 +149,8 @@ def pages(states: DataFrame, *keep: str, reviews: int = 5) -> DataFrame:
     aggregate; a group holds what one page's text does.
     """
     node, w = F.col("node"), F.col("widget")
-    n = _with_named(objects(states, *keep))
-    root, place = F.col("place.at") == F.min("place.at").over(W.partitionBy(*keep, "place.pos")), F.col("place")
+    n = _with_review(_with_named(objects(states, *keep)))
+    root, place = F.col("first"), F.col("place")
     price = numbers.digits_price(F.coalesce(*[rich_text(node, f"$.{k}") for k in ("cardPrice", "price", "finalPrice")]))
     listed = F.from_json(F.to_json(F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in ("images", "coverImage")])), "array<string>")
     picture = lambda i: F.when(~F.startswith(i, F.lit("{")), i).when(F.coalesce(F.get_json_object(i, "$.type"), F.lit("image")).isin("image", ""), F.coalesce(F.get_json_object(i, "$.src"), F.get_json_object(i, "$.url")))
@@ -145,7 +161,7 @@ def pages(states: DataFrame, *keep: str, reviews: int = 5) -> DataFrame:
         "price": (w.contains("webPrice") | w.startswith("webOzonAccountPrice"), price), "rating": (w.startswith("webReviewProductScore"), rating),
         "reviews_count": (w.startswith("webReviewProductScore"), field(node, "$.reviewsCount").try_cast("int")), "images": (w.startswith("webGallery"), images),
     }
-    said = n.select(*keep, "place", *[F.when(root & of, value).alias(name) for name, (of, value) in facts.items()], "named", _review(node, w).alias("review"))
+    said = n.select(*keep, "place", *[F.when(root & of, value).alias(name) for name, (of, value) in facts.items()], "named", "review")
     first = [F.min_by(name, F.when(F.col(name).isNotNull(), place)).alias(name) for name in facts if name != "images"]
     gallery = F.array_sort(F.collect_list(F.when(F.col("images").isNotNull(), F.struct("place", "images"))))
     return said.groupBy(*keep).agg(

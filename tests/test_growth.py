@@ -5,8 +5,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from bazaarium.functions import urls
-from bazaarium.operators import history
+from bazaarium.functions import json_nodes, urls
+from bazaarium.operators import facets, history, nmck, offers, ranking
+from bazaarium.plans import catalog, payloads
+from bazaarium.sources import widgets
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -51,3 +55,26 @@ def test_crc_is_small_and_right(spark):
 def test_shards_of_three_digits_are_whole(spark):
     nm = spark.range(1).select(F.lit(2_766_134_739).alias("nm"))
     assert nm.select(urls.shard(F.col("nm")).alias("s")).first().s == "100"
+
+
+def test_payloads_are_made_in_as_many_tasks_as_there_are(spark):
+    """A file of one group of rows is read by one task, whatever its size."""
+    assert payloads._parts(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_walk_marks_the_first_object(spark):
+    rows = spark.createDataFrame([(1, '[{"a": {"b": {}}}, {"c": 1}]'), (2, "{"), (3, None), (4, "[]"), (5, ' {"x": [{}]}')], "k int, t string")
+    found = json_nodes.walk(rows, ["k"], "t").selectExpr("k", "at", "first", "to_json(node) AS node").orderBy("k", "at").collect()
+    assert [tuple(r) for r in found] == [(1, 1, True, '{"a":{"b":{}}}'), (1, 7, False, '{"b":{}}'), (1, 13, False, "{}"), (1, 19, False, '{"c":1}'), (5, 1, True, '{"x":[{}]}'), (5, 8, False, "{}")]
+
+
+def test_a_payload_is_parsed_once(spark):
+    rows = spark.range(2).select("id", F.concat(F.lit('{"widgetStates": {"w'), F.col("id").cast("string"), F.lit('": "{}"}}')).alias("payload"))
+    states = widgets.widget_states(rows, "payload", "id")
+    assert plan(states).count("from_json") == 1
+    assert sorted(tuple(r) for r in states.collect()) == [(0, "w0", 0, "{}"), (1, "w1", 0, "{}")]
+
+
+def test_pages_without_reviews_have_none(spark):
+    rows = spark.createDataFrame([(1, "webListReviews-1", 0, '{"text": "short"}'), (1, "other", 1, '{"text": "A text that is long enough for a review"}'), (2, "WEBListReviews", 0, '{"text": "A text that is long enough for a review"}')], "k int, widget string, pos int, state string")
+    assert [r.k for r in widgets.widget_reviews(rows, "k").collect()] == [2]
