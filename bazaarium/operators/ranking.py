@@ -23,7 +23,8 @@ def placed(rows: DataFrame, keys: list[str], order: list[Column], name: str = "p
     Rows are sorted over all tasks and written once to the shared folder, each with its task and number there; the first
     numbers of a key in each task and the counts of the tasks before give its place.
     """
-    columns = rows.columns
+    columns = [c for c in rows.columns if c != name]
+    rows = rows.select(*columns)
     dealt = rows.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*[F.col(k) for k in keys], *order)
     sorted_rows = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "placed")
     task = F.shiftright("_at", 33)
@@ -31,8 +32,10 @@ def placed(rows: DataFrame, keys: list[str], order: list[Column], name: str = "p
     earlier = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)  # one row for each task
     shifts = firsts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_task", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    # Written too: Spark then knows when it plans that they are few, and does not deal out all rows again.
+    shifts = stored(shifts, "shifts")
     joined = sorted_rows.withColumn("_in", task).join(shifts, [F.col("_in") == F.col("_task"), *on])
-    return joined.select(*[c for c in columns if c != name], (F.col("_at") + F.col("_shift")).alias(name))
+    return joined.select(*columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:

@@ -78,3 +78,10 @@ def test_a_payload_is_parsed_once(spark):
 def test_pages_without_reviews_have_none(spark):
     rows = spark.createDataFrame([(1, "webListReviews-1", 0, '{"text": "short"}'), (1, "other", 1, '{"text": "A text that is long enough for a review"}'), (2, "WEBListReviews", 0, '{"text": "A text that is long enough for a review"}')], "k int, widget string, pos int, state string")
     assert [r.k for r in widgets.widget_reviews(rows, "k").collect()] == [2]
+
+
+def test_places_write_narrow_rows(spark, monkeypatch):
+    seen, store = [], ranking.stored
+    monkeypatch.setattr(ranking, "stored", lambda rows, label: seen.append(set(rows.columns)) or store(rows, label))
+    catalog.sorted_by_price(spark, SF)
+    assert seen and not any({"name", "url", "characteristics"} & columns for columns in seen)
