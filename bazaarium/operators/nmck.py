@@ -17,12 +17,20 @@ from bazaarium.operators.ranking import medians, placed
 from bazaarium.session import stored
 
 
+#: What statistics need of an offer, and what the sheets show beside it.
+NEEDED, SHOWN = ("query_id", "source", "seller", "price", "rating", "reviews_count", "pos"), ("name", "url")
+
+
 def one_per_seller(offers: DataFrame) -> DataFrame:
     """Cheapest priced offer of each seller of a query, the first of equal ones; adds ``seller_key``."""
     keyed = offers.where("price > 0").withColumn("seller_key", pricing.seller_key(F.col("seller"), F.col("source")))
-    whole = F.struct(*[F.col(c) for c in keyed.columns])
+    rest, order = [c for c in keyed.columns if c not in ("query_id", "seller_key", "price", "pos")], ("price", "pos")
+    if any("map<" in kind for _, kind in keyed.dtypes):  # has no order, so it can't stand behind the order in one minimum
+        first = F.min_by(F.struct(*order, *rest), F.struct(*order))
+    else:
+        first = F.min(F.struct(*order, *rest))
     # Partial minima meet before the shuffle, so a large seller is no large group.
-    return keyed.groupBy("query_id", "seller_key").agg(F.min_by(whole, F.struct("price", "pos")).alias("_o")).select("_o.*")
+    return keyed.groupBy("query_id", "seller_key").agg(first.alias("_o")).select("_o.*", "query_id", "seller_key").select(*keyed.columns)
 
 
 def selection(offers: DataFrame, preview: bool = False) -> DataFrame:
@@ -33,9 +41,10 @@ def selection(offers: DataFrame, preview: bool = False) -> DataFrame:
     """
     p, low, high = F.col("price").cast("double"), *V.NMCK_BAND
     pool = stored(one_per_seller(offers), "sellers")
-    facts = with_group(medians(pool, ["query_id"], "price", "market_median"), pool.groupBy("query_id").agg(F.count("*").alias("sellers")), "query_id")
+    # Facts are written: Spark then knows when it plans whether they are few, and deals out the pool only where they are not.
+    facts = stored(with_group(medians(pool, ["query_id"], "price", "market_median"), pool.groupBy("query_id").agg(F.count("*").alias("sellers")), "query_id"), "market")
     banded = with_group(pool, facts, "query_id").withColumn("in_band", p.between(F.col("market_median") * low, F.col("market_median") * high))
-    counts = banded.groupBy("query_id").agg(F.count_if("in_band").alias("banded"))
+    counts = stored(banded.groupBy("query_id").agg(F.count_if("in_band").alias("banded")), "banded")
     kept = with_group(banded, counts, "query_id").where((F.col("banded") < V.NMCK_LEAST) | F.col("in_band"))
     rating = F.nullif(F.col("rating"), F.lit(0.0)) if preview else F.col("rating")
     trusted = kept.withColumn("trust", pricing.seller_trust(F.col("reviews_count"), rating))
@@ -49,20 +58,34 @@ def statistics(offers: DataFrame, preview: bool = False) -> DataFrame:
 
     ``homogeneous`` is told by the variation before rounding; a ``preview`` is not rounded.
     """
+    return _statistics(selection(offers.select(*NEEDED), preview), preview)
+
+
+def _statistics(chosen: DataFrame, preview: bool = False) -> DataFrame:
     p = F.col("price").cast("double")
     digits = (lambda c: c) if preview else (lambda c: F.round(c, 2))
     seller = F.coalesce(F.nullif(F.trim("seller"), F.lit("")), pricing.source_label(F.col("source")))
-    found = selection(offers, preview).groupBy("query_id").agg(
+    found = chosen.groupBy("query_id").agg(
         F.count("*").alias("n_offers"), F.avg(p).alias("mu"), F.stddev_samp(p).alias("sigma"), F.transform(F.array_sort(F.collect_list(F.struct("number", seller.alias("seller")))), lambda x: x["seller"]).alias("sources_used")
     )
     cv = F.when(F.col("mu") > 0, F.col("sigma") / F.col("mu") * 100).otherwise(0.0)
     return found.where(F.col("n_offers") >= V.NMCK_LEAST).select("query_id", "n_offers", digits(F.col("mu")).alias("mean"), digits(F.col("sigma")).alias("stdev"), digits(cv).alias("cv_pct"), (cv <= V.NMCK_VARIATION).alias("homogeneous"), "sources_used")
 
 
-def sheets(offers: DataFrame, quantity: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Two tables of a justification: the chosen offers with their statistics and total, and all offers by source and price."""
-    stats = statistics(offers).select("query_id", "n_offers", "mean", "stdev", "cv_pct", "homogeneous", (F.col("mean") * quantity).alias("total"))
-    chosen = selection(offers).select("query_id", "number", pricing.source_label(F.col("source")).alias("source_label"), "seller", "name", "price", "url").join(stats, "query_id")
-    labelled = offers.withColumn("source_label", pricing.source_label(F.col("source")))
+def chosen_sheet(offers: DataFrame, quantity: int = 1) -> DataFrame:
+    """The chosen offers of a justification with their statistics and total."""
+    few = stored(selection(offers.select(*NEEDED, *SHOWN)), "chosen")
+    stats = _statistics(few).select("query_id", "n_offers", "mean", "stdev", "cv_pct", "homogeneous", (F.col("mean") * quantity).alias("total"))
+    return few.select("query_id", "number", pricing.source_label(F.col("source")).alias("source_label"), "seller", "name", "price", "url").join(stats, "query_id")
+
+
+def whole_sheet(offers: DataFrame) -> DataFrame:
+    """All offers of a justification by source and price."""
+    labelled = offers.select("query_id", pricing.source_label(F.col("source")).alias("source_label"), "seller", "name", "price", "url", "pos")
     every = placed(labelled, ["query_id"], [F.asc("source_label"), F.asc("price"), F.asc("pos")], "number")
-    return chosen, every.select("query_id", "number", "source_label", "seller", "name", "price", "url")
+    return every.select("query_id", "number", "source_label", "seller", "name", "price", "url")
+
+
+def sheets(offers: DataFrame, quantity: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Both tables of a justification."""
+    return chosen_sheet(offers, quantity), whole_sheet(offers)

@@ -85,3 +85,16 @@ def test_places_write_narrow_rows(spark, monkeypatch):
     monkeypatch.setattr(ranking, "stored", lambda rows, label: seen.append(set(rows.columns)) or store(rows, label))
     catalog.sorted_by_price(spark, SF)
     assert seen and not any({"name", "url", "characteristics"} & columns for columns in seen)
+
+
+def test_contract_price_carries_what_it_needs(spark, monkeypatch):
+    seen, store = [], nmck.stored
+    monkeypatch.setattr(nmck, "stored", lambda rows, label: seen.append(set(rows.columns)) or store(rows, label))
+    catalog.nmck_statistics(spark, SF)
+    assert seen and not any({"name", "url", "characteristics"} & columns for columns in seen)
+
+
+def test_one_per_seller_with_and_without_a_map(spark):
+    rows = spark.createDataFrame([("q", "wb", " A", 3, 1), ("q", "wb", "a", 2, 3), ("q", "wb", "a", 2, 2), ("q", "wb", "", 5, 4), ("q", "wb", None, 0, 5)], "query_id string, source string, seller string, price int, pos int")
+    for own in (rows, rows.withColumn("m", F.create_map(F.lit("k"), F.lit("v")))):
+        assert sorted((r.seller_key, r.price, r.pos) for r in nmck.one_per_seller(own).collect()) == [("a", 2, 2), ("wb", 5, 4)]
