@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bazaarium import values as V
 from bazaarium.functions import pricing, text, urls
 from bazaarium.operators.ranking import medians, placed
+from bazaarium.session import stored
 
 
 def select_sources(offers: DataFrame, wanted: list[str] | None = None, registered: tuple[str, ...] = ("wb", "ozon", "runet")) -> DataFrame:
@@ -68,7 +69,13 @@ def best_deals(offers: DataFrame, top: int = 10, **scoring) -> DataFrame:
 
 
 def cheapest(offers: DataFrame) -> DataFrame:
-    """The cheapest priced offer of each query, the first of equal ones."""
+    """The cheapest priced offer of each query, the first of equal ones.
+
+    Lowest prices are found first, by hashing; a minimum of whole offers would sort them all.  They are written, so that
+    Spark knows their size when it plans and deals out the offers only where they are many.
+    """
+    lowest = stored(priced(offers).groupBy("query_id").agg(F.min("price").alias("_lowest")), "lowest")
+    tied = with_group(priced(offers), lowest, "query_id").where(F.col("price") == F.col("_lowest")).drop("_lowest")
     offer = F.struct(*[c for c in offers.columns if c != "query_id"])
     return priced(offers).groupBy("query_id").agg(F.min_by(offer, F.struct("price", "pos")).alias("offer")).select("query_id", "offer.*")
 

@@ -98,3 +98,10 @@ def test_one_per_seller_with_and_without_a_map(spark):
     rows = spark.createDataFrame([("q", "wb", " A", 3, 1), ("q", "wb", "a", 2, 3), ("q", "wb", "a", 2, 2), ("q", "wb", "", 5, 4), ("q", "wb", None, 0, 5)], "query_id string, source string, seller string, price int, pos int")
     for own in (rows, rows.withColumn("m", F.create_map(F.lit("k"), F.lit("v")))):
         assert sorted((r.seller_key, r.price, r.pos) for r in nmck.one_per_seller(own).collect()) == [("a", 2, 2), ("wb", 5, 4)]
+
+
+def test_cheapest_sorts_no_whole_offers(spark):
+    rows = spark.createDataFrame([("q", 3, 1), ("q", 2, 3), ("q", 2, 2), ("r", 0, 1), (None, 1, 9)], "query_id string, price int, pos int").withColumn("m", F.create_map(F.lit("k"), F.lit("v")))
+    found = offers.cheapest(rows)
+    assert "_lowest" in plan(found)
+    assert {(r.query_id, r.price, r.pos) for r in found.collect()} == {("q", 2, 2), (None, 1, 9)}
