@@ -77,7 +77,7 @@ def cheapest(offers: DataFrame) -> DataFrame:
     lowest = stored(priced(offers).groupBy("query_id").agg(F.min("price").alias("_lowest")), "lowest")
     tied = with_group(priced(offers), lowest, "query_id").where(F.col("price") == F.col("_lowest")).drop("_lowest")
     offer = F.struct(*[c for c in offers.columns if c != "query_id"])
-    return priced(offers).groupBy("query_id").agg(F.min_by(offer, F.struct("price", "pos")).alias("offer")).select("query_id", "offer.*")
+    return tied.groupBy("query_id").agg(F.min_by(offer, "pos").alias("offer")).select("query_id", "offer.*")
 
 
 def cheapest_few(offers: DataFrame, n: int = 3) -> DataFrame:
@@ -180,8 +180,9 @@ def dedup_listing(offers: DataFrame, priority: Column | None = None) -> DataFram
 
 def dedup_host(offers: DataFrame) -> DataFrame:
     """First offer of each host within a query, hosts that other sources cover left out."""
-    kept = offers.where(~urls.excluded_host(F.col("url")))
-    return first_of(kept, F.col("query_id"), urls.host(F.col("url")))
+    # A host is found once a row: a null one stands in a list of its own, so that Spark sees no step to find it in again.
+    hosted = offers.withColumn("_host", F.explode(F.array(urls.host(F.col("url")))))
+    return first_of(hosted.where(~urls.below(F.col("_host"), V.EXCLUDED_HOSTS)), F.col("query_id"), F.col("_host")).drop("_host")
 
 
 def dedup_sku(offers: DataFrame, sku: str = "item_id") -> DataFrame:

@@ -105,3 +105,10 @@ def test_cheapest_sorts_no_whole_offers(spark):
     found = offers.cheapest(rows)
     assert "_lowest" in plan(found)
     assert {(r.query_id, r.price, r.pos) for r in found.collect()} == {("q", 2, 2), (None, 1, 9)}
+
+
+def test_a_host_is_found_once_for_its_first_offer(spark):
+    rows = spark.createDataFrame([("q", "https://A.example/1", 2), ("q", "https://a.example/2", 1), ("q", "https://x.ozon.ru/", 0), ("q", "none", 4)], "query_id string, url string, pos int")
+    found = offers.dedup_host(rows)
+    assert plan(found).count("ParseUrlEvaluator") == 1
+    assert sorted((r.url, r.pos) for r in found.collect()) == [("https://a.example/2", 1), ("none", 4)]
