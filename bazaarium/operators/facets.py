@@ -48,10 +48,12 @@ def dynamic(offers: DataFrame, most: int = V.FACET_MOST) -> DataFrame:
     # once, as what follows reads them three times.
     plain = F.coalesce("characteristics", F.create_map().cast("map<string,string>"))
     none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
-    pairs = offers.select("query_id", F.explode(F.concat(F.map_entries(plain), none)).alias("p"))
-    pairs = pairs.select("query_id", F.when(F.col("p.key").isNotNull(), _facet_key(F.col("p.key"))).alias("label"), F.trim("p.value").alias("value"), F.col("p.key").isNull().alias("whole"))
+    # Offers with equal characteristics are told apart by nothing here: they are counted first and looked at once.
+    alike = offers.select("query_id", F.map_entries(plain).alias("_entries")).groupBy("query_id", "_entries").agg(F.count("*").alias("_alike"))
+    pairs = alike.select("query_id", "_alike", F.explode(F.concat("_entries", none)).alias("p"))
+    pairs = pairs.select("query_id", "_alike", F.when(F.col("p.key").isNotNull(), _facet_key(F.col("p.key"))).alias("label"), F.trim("p.value").alias("value"), F.col("p.key").isNull().alias("whole"))
     pairs = pairs.where("whole OR (label IS NOT NULL AND value IS NOT NULL AND value <> '')")
-    counted = stored(pairs.groupBy("query_id", "label", "value").agg(F.count("*").alias("n")), "facet-values")
+    counted = stored(pairs.groupBy("query_id", "label", "value").agg(F.sum("_alike").alias("n")), "facet-values")
     n = counted.where("label IS NULL").select("query_id", F.col("n").alias("all_offers"))
     by_value = counted.where("label IS NOT NULL").withColumn("number", first_number(F.col("value")))
     by_label = by_value.groupBy("query_id", "label").agg(

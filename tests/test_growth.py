@@ -112,3 +112,9 @@ def test_a_host_is_found_once_for_its_first_offer(spark):
     found = offers.dedup_host(rows)
     assert plan(found).count("ParseUrlEvaluator") == 1
     assert sorted((r.url, r.pos) for r in found.collect()) == [("https://a.example/2", 1), ("none", 4)]
+
+
+def test_equal_characteristics_are_looked_at_once(spark):
+    rows = spark.createDataFrame([("q", {"Цвет": c}) for c in "aab"] + [("q", None)], "query_id string, characteristics map<string, string>")
+    found = facets.dynamic(rows)
+    assert {(r.value, r.offers) for r in found.collect()} == {("a", 2), ("b", 1)}
