@@ -155,20 +155,29 @@ def event_messages(events: DataFrame) -> DataFrame:
 ALERT = "watch_id string, check_id long, event_us long, prev_price double, new_price double, diff_pct double"
 
 
+#: Groups that watches and series are dealt into.  A group costs a call of Python for each micro-batch, so one for each key
+#: would cost most where keys are many; what one group waits for is held at once.  Part of a stream's state: not to be changed between runs.
+SLOTS = 512
+
+
+def _slot(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+
+
 class Alerts(StatefulProcessor):
-    """Checks of one watch wait until the watermark has passed them, so they are compared in order of time whatever came first."""
+    """Checks of a slot's watches wait until the watermark has passed them, so those of a watch are compared in order of time whatever came first."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, check_id long, price double, threshold double")
-        self.price = handle.getValueState("price", "price double")
+        self.waiting = handle.getListState("waiting", "us long, watch_id string, check_id long, price double, threshold double")
+        self.price = handle.getMapState("price", "watch_id string", "price double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
             found = frame[frame["best_price"].notna()]
             if len(found):
-                self.waiting.appendList([tuple(r) for r in found[["event_us", "check_id", "best_price", "threshold_pct"]].itertuples(index=False)])
+                self.waiting.appendList(list(zip(*(found[c].tolist() for c in ("event_us", "watch_id", "check_id", "best_price", "threshold_pct")), strict=True)))
                 least = int(found["event_us"].min())
                 first = least if first is None else min(first, least)
         if first is not None:
@@ -177,21 +186,26 @@ class Alerts(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = 1000 * timerValues.getCurrentWatermarkInMs()
-        due, rest = [], []
-        for row in self.waiting.get():
-            (due if row[0] < passed else rest).append(tuple(row))
-        prev, out = self.price.get()[0] if self.price.exists() else None, []
-        for us, check_id, price, threshold in sorted(due):
-            if prev is not None and prev > 0:
-                diff = (price - prev) / prev * 100
-                if abs(diff) >= threshold:
-                    out.append((key[0], check_id, us, prev, price, diff))
-            prev = price
+        due, rest, out = defaultdict(list), [], []
+        for us, watch, *check in self.waiting.get():
+            if us < passed:
+                due[watch].append((us, *check))
+            else:
+                rest.append((us, watch, *check))
+        for watch, checks in due.items():
+            known = self.price.getValue((watch,))
+            prev = known[0] if known is not None else None
+            for us, check_id, price, threshold in sorted(checks):
+                if prev is not None and prev > 0:
+                    diff = (price - prev) / prev * 100
+                    if abs(diff) >= threshold:
+                        out.append((watch, check_id, us, prev, price, diff))
+                prev = price
+            self.price.updateValue((watch,), (prev,))
         if due:
-            self.price.update((prev,))
             self.waiting.put(rest) if rest else self.waiting.clear()
             if rest:
-                self.handle.registerTimer(min(rest)[0] // 1000 + 1)
+                self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
         yield _frame(out, ALERT)
 
 
@@ -202,7 +216,7 @@ def alert_stream(checks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     none is later than ``delay``; so alerts come that much later.  Checks without a price set nothing.
     """
     timed = checks.withColumn("event_us", F.unix_micros("check_ts")).withWatermark("check_ts", delay)
-    found = timed.groupBy("watch_id").transformWithStateInPandas(Alerts(), ALERT, "Append", "EventTime")
+    found = timed.withColumn("slot", _slot("watch_id")).groupBy("slot").transformWithStateInPandas(Alerts(), ALERT, "Append", "EventTime")
     return found.select("watch_id", "check_id", F.timestamp_micros("event_us").alias("check_ts"), "prev_price", "new_price", "diff_pct")
 
 
@@ -210,7 +224,7 @@ SERIES = "source string, item_id string, version long, points array<struct<us: l
 
 
 class Series(StatefulProcessor):
-    """The newest points of one series in a list of bounded length."""
+    """The newest points of each of a slot's series in lists of bounded length."""
 
     def __init__(self, most: int):
         self.most = most
@@ -220,7 +234,7 @@ class Series(StatefulProcessor):
         self.version = handle.getValueState("version", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(p) for p in self.points.get()]
+        fresh: dict[tuple[str, str], list[tuple[int, float]]] = defaultdict(list)
         for frame in rows:
             held = heapq.nlargest(self.most, [*held, *zip(frame["event_us"].tolist(), frame["price"].tolist(), strict=True)])
         version = (self.version.get()[0] if self.version.exists() else 0) + 1

@@ -90,6 +90,21 @@ def test_series_keep_the_newest_points(spark, tmp_path):
     assert [(r.version, [p.price for p in r.points]) for r in got[1]] == [(2, [4.0, 2.0, 2.0])]
 
 
+def test_keys_without_an_id_and_many_keys_in_few_groups(spark, tmp_path):
+    seen = []
+    checks = [(w, n, 60 * n, 100.0 * (n + 1), 5.0) for w in (None, *map(str, range(700))) for n in range(2)]
+    def alerts(rows):
+        found = stateful.alert_stream(rows, "10 seconds")
+        seen.append(found._jdf.queryExecution().analyzed().toString())
+        return found
+    got = run(spark, str(tmp_path / "a"), [checks, [("end", 0, 5000, None, 1.0)]], CHECKS, alerts)
+    assert {r.watch_id for r in got[1]} == {None, *map(str, range(700))} and len(got[1]) == 701
+    assert "[slot#" in seen[0]
+    points = [(None, "1", n, 1.0 + n) for n in range(3)]
+    last = run(spark, str(tmp_path / "s"), [points], "source string, item_id string, ts_s long, price double", lambda s: stateful.series_stream(s, 2), "update")[0]
+    assert [(r.source, r.version, [p.price for p in r.points]) for r in last] == [(None, 1, [2.0, 3.0])]
+
+
 def test_session_keeps_its_state_store(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
