@@ -230,17 +230,28 @@ class Series(StatefulProcessor):
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getListState("points", "us long, price double")
-        self.version = handle.getValueState("version", "n long")
+        self.series = handle.getMapState("series", "source string, item_id string", "version long, us array<long>, price array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh: dict[tuple[str, str], list[tuple[int, float]]] = defaultdict(list)
         for frame in rows:
-            held = heapq.nlargest(self.most, [*held, *zip(frame["event_us"].tolist(), frame["price"].tolist(), strict=True)])
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.points.put(held)
-        self.version.update((version,))
-        yield pd.DataFrame({"source": [key[0]], "item_id": [key[1]], "version": [version], "points": [[{"us": us, "price": price} for us, price in reversed(held)]]})
+            for source, item, *point in zip(*(frame[c].tolist() for c in ("source", "item_id", "event_us", "price")), strict=True):
+                held = fresh[source, item]
+                held.append(tuple(point))
+                if len(held) >= 2 * self.most:
+                    held[:] = heapq.nlargest(self.most, held)
+        out = []
+        for name, points in fresh.items():
+            known = self.series.getValue(name)
+            version, us, price = known if known is not None else (0, [], [])
+            held = heapq.nlargest(self.most, [*points, *zip(us, price, strict=True)])
+            self.series.updateValue(name, (version + 1, [p[0] for p in held], [p[1] for p in held]))
+            out.append((*name, version + 1, [{"us": us, "price": price} for us, price in reversed(held)]))
+            if len(out) >= 1000:
+                yield pd.DataFrame(out, columns=["source", "item_id", "version", "points"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["source", "item_id", "version", "points"])
 
 
 def series_stream(points: DataFrame, most: int = 2000) -> DataFrame:
@@ -249,5 +260,5 @@ def series_stream(points: DataFrame, most: int = 2000) -> DataFrame:
     ``points`` has (source, item_id, ts, price), prices above 0 count; the newest ``most`` of each series are kept.
     """
     timed = points.where("price > 0").select("source", "item_id", F.unix_micros("ts").alias("event_us"), F.col("price").cast("double").alias("price"))
-    found = timed.groupBy("source", "item_id").transformWithStateInPandas(Series(most), SERIES, "Update", "None")
+    found = timed.withColumn("slot", _slot("source", "item_id")).groupBy("slot").transformWithStateInPandas(Series(most), SERIES, "Update", "None")
     return found.select("source", "item_id", "version", F.transform("points", lambda p: F.struct(F.timestamp_micros(p["us"]).alias("ts"), p["price"].alias("price"))).alias("points"))
