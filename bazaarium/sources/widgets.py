@@ -35,7 +35,7 @@ def rich_text(node: Column, path: str = "$") -> Column:
 def widget_states(captured: DataFrame, payload: str = "payload", *keep: str) -> DataFrame:
     """(``keep``, widget, pos, state) of the widgets of each page in the order of the text; states that do not parse go with the walk."""
     states = F.from_json(F.col(payload), "widgetStates map<string, string>")["widgetStates"]
-    # Outer, as Spark filters what a plain one explodes beforehand, which parses each payload twice more.
+    # Outer, so that no filter by what it explodes is put before it.
     return captured.select(*keep, F.posexplode_outer(F.map_entries(states)).alias("pos", "_e")).where("_e IS NOT NULL").select(*keep, F.col("_e.key").alias("widget"), "pos", F.col("_e.value").alias("state"))
 
 
