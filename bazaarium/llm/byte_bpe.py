@@ -17,9 +17,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _pretokens = regex.compile(PATTERN).findall
+#: The same for ASCII texts, by the faster library.
+_ascii_pretokens = re.compile(PATTERN.replace(r"^\s\p{L}\p{N}", r"^\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII).findall
 #: A space before a non-space starts a pre-token in any context, so texts may be cut there.
 _cut = re.compile(r" (?=\S)").split
 _odd_space = re.compile(r" \s").search
+#: ASCII marks that end no letters and begin no contraction: at the end of a word they are one pre-token.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,6 +34,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = str.maketrans(_byte_letters())
+_SPACE = _byte_letters()[32]
 
 
 class Remembering(dict):
@@ -59,6 +64,14 @@ def words(text: str) -> list[str]:
     return text.split(" ") if _odd_space(text) is None else _cut(text)
 
 
+def spaced_pretokens(word: str) -> list[str]:
+    """Pre-tokens of a word that follows a space; letters with marks behind them need no pattern."""
+    stem = word.rstrip(_MARKS)
+    if not stem.isalpha():
+        return (_ascii_pretokens if word.isascii() else _pretokens)(" " + word)
+    return [" " + stem, word[len(stem) :]] if len(stem) < len(word) else [" " + word]
+
+
 class ByteBpe:
     """A tokenizer file whose texts are pre-tokenised by PATTERN and whose pieces are found once per pre-token."""
 
@@ -68,6 +81,7 @@ class ByteBpe:
         self.whole = Tokenizer.from_str(blob.decode())
         self.whole.no_truncation()
         self.whole.no_padding()
+        self._pieces = self.whole.model.tokenize
         said = json.loads(blob)
         before = said.get("pre_tokenizer") or {}
         model = said.get("model") or {}
@@ -82,24 +96,40 @@ class ByteBpe:
 
     def piece_ids(self, pretoken: str) -> list[int]:
         """Ids of one pre-token."""
-        letters = pretoken.encode().decode("latin-1").translate(_LETTERS)
-        return [t.id for t in self.whole.model.tokenize(letters)]
+        if pretoken[:1] == " " and pretoken.isascii() and pretoken[1:].isalpha():
+            letters = _SPACE + pretoken[1:]
+        else:
+            letters = pretoken.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self._pieces(letters)]
 
     def text_ids(self, text: str) -> list[int]:
         """Ids of a whole text from the library itself."""
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def _packed_pretoken(self, pretoken: str) -> bytes:
+        return array(self.code, self.piece_ids(pretoken)).tobytes()
+
     def _packed_word(self, word: str) -> bytes:
-        return array(self.code, [i for p in _pretokens(word) for i in self.piece_ids(p)]).tobytes()
+        return b"".join(map(self.packed_parts.__getitem__, _pretokens(word)))
 
     def _packed_after_space(self, word: str) -> bytes:
-        return self._packed_word(" " + word)
+        return b"".join(map(self.packed_parts.__getitem__, spaced_pretokens(word)))
+
+    @cached_property
+    def packed_parts(self) -> Remembering:
+        """Packed ids of a pre-token: words that differ in the marks behind them share it."""
+        return Remembering(self._packed_pretoken, 100_000)
 
     @cached_property
     def packed(self) -> Remembering:
         """Packed ids of a word that follows a space."""
         return Remembering(self._packed_after_space)
 
+    def trim(self) -> None:
+        """Call between slices of text."""
+        self.packed.trim()
+        self.packed_parts.trim()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed little-endian as ``code`` says; equal to the library's for the whole text."""
         if not self.by_words or self.has_special(text):
@@ -110,7 +140,7 @@ class ByteBpe:
     @cached_property
     def pretokens(self) -> Remembering:
         """Pre-tokens of a word that follows a space."""
-        return Remembering(lambda word: tuple(_pretokens(" " + word)))
+        return Remembering(lambda word: tuple(spaced_pretokens(word)))
 
     def pretokens_of(self, text: str) -> list[str]:
         """Pre-tokens of a short text without special strings."""

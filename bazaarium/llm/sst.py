@@ -199,7 +199,7 @@ def write_shards(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, shar
                     writer = Writer(sink, len(end))
                 for doc_id, text, place in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "place")), strict=True):
                     writer.add(key_of(doc_id, place), bpe.encode(text) + end)
-                bpe.packed.trim()
+                bpe.trim()
         if writer is not None:
             writer.close()
             sink.close()
