@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bazaarium.functions import pricing
 from bazaarium.plans import bridge
-from bazaarium.session import shared_dir
+from bazaarium.session import shared_dir, stored
 from bazaarium.streaming import counters, stateful, streams
 
 
@@ -70,7 +70,8 @@ def search_rows(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))
     score = stateful.worth(F.col("rating"), pricing.reviews_of(F.col("characteristics")))
     some = o.select("query_id", F.lit("offer").alias("kind"), "source", F.lit(None).cast("string").alias("error"), place.alias("pos"), F.col("price").cast("double").alias("price"), score.alias("worth"), (F.col("l_orderkey") % F.when(F.col("source") == "wb", 2).otherwise(3)).alias("part"))
-    ends = o.select("query_id", "source").where("source <> 'ozon'").distinct().select("query_id", F.lit("finished").alias("kind"), "source", F.when(F.col("source") == "runet", "partial").alias("error"), F.lit(None).cast("string").alias("pos"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("worth"), F.when(F.col("source") == "wb", 2).otherwise(3).cast("long").alias("part"))
+    some = stored(some, "search-offers")  # each part reads them, and so do the ends
+    ends = some.select("query_id", "source").where("source <> 'ozon'").distinct().select("query_id", F.lit("finished").alias("kind"), "source", F.when(F.col("source") == "runet", "partial").alias("error"), F.lit(None).cast("string").alias("pos"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("worth"), F.when(F.col("source") == "wb", 2).otherwise(3).cast("long").alias("part"))
     rows = some.unionByName(ends)
     tick = spark.range(1).select(F.lit("").alias("query_id"), F.lit("tick").alias("kind"), F.lit("").alias("source"), *[F.lit(None).cast(k).alias(c) for c, k in (("error", "string"), ("pos", "string"), ("price", "double"), ("worth", "double"))], at(3600).alias("fetched_at"))
     return [*[rows.where(F.col("part") == n).drop("part").withColumn("fetched_at", at(10 * n)) for n in range(4)], tick]
