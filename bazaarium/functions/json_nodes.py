@@ -19,38 +19,45 @@ _TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]:]|[^\s{}\[\]:,"]+', re.DO
 BATCH_CHARS = 1 << 22
 
 
-def objects(text: str, only: tuple[str, ...] = ()) -> Iterator[tuple[int, bool, str]]:
+def objects(text: str, only: tuple[str, ...] = (), having: str | None = None) -> Iterator[tuple[int, bool, str]]:
     """(place, first, text) of each object in a JSON text that parses, as it closes; ``place`` is where it begins, ``first`` whether none begins before.
 
-    All lists are gone through; of an object all values, or those under the keys in ``only``.  One pass that holds the open
+    All lists are gone through; of an object all values, or those under the keys in ``only``.  With ``having``, objects without
+    that key of their own are gone through but left out.  One pass that holds the open
     objects and lists; so depth has no bound.
     """
     opened: list[tuple[int, bool]] = []
     keys: list[str | None] = []
+    has: list[bool] = []
+    named = bool(only) or having is not None
     last, least = "", None
     for token in _TOKEN.finditer(text):
         first = text[token.start()]
         if first == ":":
-            keys[-1] = json.loads(last) if only else None
+            if named:
+                keys[-1] = json.loads(last) if "\\" in last else last[1:-1]
+                if keys[-1] == having:
+                    has[-1] = True
         elif first in "{[":
             met = not opened or opened[-1][1] and (text[opened[-1][0]] == "[" or not only or keys[-1] in only)
             opened.append((token.start(), met))
             keys.append(None)
+            has.append(having is None)
             if met and first == "{" and least is None:
                 least = token.start()
         elif first in "}]":
             start, met = opened.pop()
             keys.pop()
-            if met and first == "}":
+            if has.pop() and met and first == "}":
                 yield start, start == least, text[start : token.end()]
         else:
             last = token.group()
 
 
-def walk(rows: DataFrame, keep: list[str], text: str, only: tuple[str, ...] = ()) -> DataFrame:
+def walk(rows: DataFrame, keep: list[str], text: str, only: tuple[str, ...] = (), having: str | None = None) -> DataFrame:
     """(``keep``, at, first, node) of each object in the JSON texts of ``rows``, as variants; ``at`` orders them as the text does, ``first`` marks the first.
 
-    Texts that do not parse (also those nested beyond 1,000 levels or with a key twice in an object) have none, null neither.
+    ``only`` and ``having`` are those of ``objects``.  Texts that do not parse (also those nested beyond 1,000 levels or with a key twice in an object) have none, null neither.
     """
     parses = rows.select(*keep, F.col(text).alias("_text")).where(F.try_parse_json("_text").isNotNull())
     schema = StructType([*parses.drop("_text").schema, *StructType.fromDDL("at int, first boolean, object string")])
@@ -64,7 +71,7 @@ def walk(rows: DataFrame, keep: list[str], text: str, only: tuple[str, ...] = ()
         for batch in batches:
             held, size = [], 0
             for row, value in enumerate(batch.column("_text")):
-                for at, first, inner in objects(value.as_py(), only):
+                for at, first, inner in objects(value.as_py(), only, having):
                     held.append((row, at, first, inner))
                     size += len(inner)
                     if size > BATCH_CHARS:

@@ -23,13 +23,18 @@ def _text(node: Column, path: str) -> Column:
     return F.try_variant_get(node, path, "string")
 
 
-def nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
+def nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("url",), having: str | None = None) -> DataFrame:
     """(``keep`` columns, node) of every node in a page's JSON-LD, to any depth; broken blocks give none.
 
-    Lists are gone through; of a node's values only those under NESTED keys.
+    Lists are gone through; of a node's values only those under NESTED keys.  With ``having``, nodes without that key are left out.
     """
     start = pages.select(*keep, F.explode(blocks(F.col(html))).alias("_block"))
-    return json_nodes.walk(start, list(keep), "_block", NESTED).drop("at", "first")
+    return json_nodes.walk(start, list(keep), "_block", NESTED, having).drop("at", "first")
+
+
+def products(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """The ``nodes`` that are products."""
+    return nodes(pages, html, keep, "@type").where(is_product(F.col("node")))
 
 
 def is_product(node: Column) -> Column:
@@ -94,5 +99,10 @@ def characteristics(node: Column) -> Column:
 
 def first_wins(pairs: Column) -> Column:
     """Map of (key, value) pairs in which the first value of a key stays."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), 1)["value"].alias("value"))))
+
+    def of(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda p: p["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(found, lambda p: p["key"] == k), 1)["value"].alias("value"))))
+
+    # As the variable of a function, or the pairs would be made anew for each key.
+    return F.get(F.transform(F.array(pairs), of), F.lit(0))

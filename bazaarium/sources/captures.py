@@ -119,15 +119,17 @@ def widget_offers(stubs: DataFrame) -> DataFrame:
 
 def page_offers(pages: DataFrame, html: str = "html", url: str = "url", least: int = 100) -> DataFrame:
     """Product nodes of shop pages as offers: a name, and a price of ``least`` or more; the host sells."""
-    n = jsonld.nodes(pages, html, (url,)).where(jsonld.is_product(F.col("node")))
     text = lambda path: F.try_variant_get("node", path, "string")
-    found = n.select(F.col(url).alias("url"), F.trim(text("$.name")).alias("name"), jsonld.price(F.col("node")).alias("price"), jsonld.image(F.col("node")).alias("image"), jsonld.brand(F.col("node")).alias("brand"), jsonld.characteristics(F.col("node")).alias("characteristics"), F.substring(text("$.description"), 1, 500).alias("description"), text("$.aggregateRating.ratingValue").try_cast("double").alias("rating"), text("$.aggregateRating.reviewCount").try_cast("int").alias("reviews_count"), urls.host(F.col(url)).alias("seller"))
-    return found.where((F.coalesce("name", F.lit("")) != "") & (F.col("price") >= least)).withColumn("source", F.lit("runet"))
+    # Exploded, so that what is asked of name and price is found once; other fields only of what stays.
+    n = jsonld.products(pages, html, (url,)).select(url, "node", F.explode(F.array(F.struct(F.trim(text("$.name")).alias("name"), jsonld.price(F.col("node")).alias("price")))).alias("_own"))
+    n = n.where((F.coalesce("_own.name", F.lit("")) != "") & (F.col("_own.price") >= least))
+    found = n.select(F.col(url).alias("url"), "_own.name", "_own.price", jsonld.image(F.col("node")).alias("image"), jsonld.brand(F.col("node")).alias("brand"), jsonld.characteristics(F.col("node")).alias("characteristics"), F.substring(text("$.description"), 1, 500).alias("description"), text("$.aggregateRating.ratingValue").try_cast("double").alias("rating"), text("$.aggregateRating.reviewCount").try_cast("int").alias("reviews_count"), urls.host(F.col(url)).alias("seller"))
+    return found.withColumn("source", F.lit("runet"))
 
 
 def market_offers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Product nodes of a marketplace's pages as offers; the first of listed offers counts, and its count of ratings is a characteristic."""
-    n = jsonld.nodes(pages, html, (url,)).where(jsonld.is_product(F.col("node")))
+    n = jsonld.products(pages, html, (url,))
     text = lambda path: F.try_variant_get("node", path, "string")
     offer = F.coalesce(F.try_variant_get("node", "$.offers[0]", "variant"), F.try_variant_get("node", "$.offers", "variant"))
     count = text("$.aggregateRating.ratingCount")

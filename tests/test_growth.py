@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from bazaarium.functions import json_nodes, urls
+from bazaarium.functions import json_nodes, jsonld, urls
 from bazaarium.operators import facets, history, nmck, offers, ranking
 from bazaarium.plans import catalog, payloads
 from bazaarium.sources import widgets
@@ -118,3 +118,16 @@ def test_equal_characteristics_are_looked_at_once(spark):
     rows = spark.createDataFrame([("q", {"Цвет": c}) for c in "aab"] + [("q", None)], "query_id string, characteristics map<string, string>")
     found = facets.dynamic(rows)
     assert {(r.value, r.offers) for r in found.collect()} == {("a", 2), ("b", 1)}
+
+
+def test_objects_without_the_key_are_left_out():
+    text = r'{"@graph": [{"\u0040type": "Product", "offers": {"@type": 1}}, {"a": {"@type": 2}}, {"@graph": {"@type": []}}]}'
+    found = [t for _, _, t in json_nodes.objects(text, ("@graph",), "@type")]
+    assert found == [r'{"\u0040type": "Product", "offers": {"@type": 1}}', '{"@type": []}']
+
+
+def test_pairs_are_made_once_for_all_keys(spark):
+    rows = spark.range(1).select(F.array(*[F.struct(F.lit(k).alias("key"), F.concat(F.lit(v), F.col("id").cast("string")).alias("value")) for k, v in ("ax", "by", "az")]).alias("pairs"))
+    found = rows.select(jsonld.first_wins(F.filter("pairs", lambda p: p["value"] != "")).alias("m"))
+    assert found.first().m == {"a": "x0", "b": "y0"}
+    assert found._jdf.queryExecution().analyzed().toString().count("filter(pairs#") == 1
