@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -66,14 +67,19 @@ class CaptureReader(DataSourceReader):
         if not partition.name:
             return
         fs = pafs.FileSystem.from_uri(self.path)[0] if ":" in self.path else pafs.LocalFileSystem()
-        table = ds.dataset(partition.name, filesystem=fs, format="parquet")
-        at, kept = ds.field("captured_at").cast(pa.timestamp("us", "UTC")), None
+        with fs.open_input_file(partition.name) as raw:
+            # Page by page: a dataset's scan holds whole groups of rows, and several of them.
+            file = pq.ParquetFile(raw, buffer_size=1 << 20, pre_buffer=False)
+            for batch in file.iter_batches(batch_size=1000, columns=["url", "captured_at", "payload"], use_threads=False):
+                yield from self._wanted(batch, partition)
+
+    def _wanted(self, batch: pa.RecordBatch, partition: File) -> Iterator[pa.RecordBatch]:
         for moment, compare in ((self.since, pc.greater_equal), (self.until, pc.less)):
             if moment:
-                test = compare(at, pa.scalar(moment, pa.timestamp("us")).cast(pa.timestamp("us", "UTC")))
-                kept = test if kept is None else kept & test
-        for batch in table.to_batches(columns=["url", "captured_at", "payload"], filter=kept, batch_size=1000):
-            n = batch.num_rows
+                at = batch.column("captured_at").cast(pa.timestamp("us", "UTC"))
+                batch = batch.filter(compare(at, pa.scalar(moment, pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))))
+        n = batch.num_rows
+        if n:
             at = batch.column("captured_at").cast(pa.timestamp("us", "UTC"))
             yield pa.RecordBatch.from_arrays([batch.column("url"), at, batch.column("payload"), pa.array([partition.kind] * n, pa.string()), pa.array([partition.source] * n, pa.string())], ["url", "captured_at", "payload", "kind", "source"])
 
