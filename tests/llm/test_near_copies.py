@@ -139,3 +139,39 @@ def test_texts_a_little_less_alike_give_few_candidates(spark, monkeypatch):
                 up[y] = x
     assert stays == {top(a) for a in range(250)}
     assert sum(seen) < 250 * 249 / 2 / 5
+
+
+def indexed(spark, rows):
+    """Of rows (node, size, kind, print) those that the index of bytes lets meet, and the pairs when all have one sketch."""
+    texts = spark.createDataFrame(rows, "node long, size int, kind long, print binary")
+    sketched = texts.selectExpr("*", f"cast(repeat('x', {near_copies.FINE // 4}) AS binary) AS sketch")
+    met = {r.node for r in near_copies._meeting(texts, False).collect()}
+    return met, {(r.u, r.v) for r in near_copies._meeting(sketched, True).collect()}
+
+
+def test_fingerprints_propose_pairs(spark):
+    """Texts meet by two bytes of a fingerprint in place and few enough other bits, whatever else they share."""
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 256, 2 * near_copies.HALF, np.uint8)
+    two, one, far, few = (base ^ np.uint8(1) for _ in range(4))
+    two[[3, 20]] = base[[3, 20]]
+    one[[3, 40]] = base[[3, 40]]  # one of each half
+    far[:] = ~base
+    far[[3, 20]] = base[[3, 20]]
+    few[-1] = base[-1]  # the last byte alone
+    for other, size, meet in ((two, 100, True), (one, 100, False), (far, 100, False), (few, 100, False), (few, near_copies.FEW, True)):
+        for sizes, kinds, fit in (((size, size), (1, 2), True), ((size, size * 2), (1, 2), False), ((size, size), (1, 1), False)):
+            rows = [(n, s, k, bytearray(p)) for n, s, k, p in zip((1, 2), sizes, kinds, (base.tobytes(), other.tobytes()), strict=True)]
+            assert indexed(spark, rows) == (({1, 2}, {(2, 1)}) if meet and fit else (set(), set()))
+
+
+def test_fingerprints_of_near_copies_agree_in_enough_bytes():
+    """Pairs at a similarity of 0.8 share a list and are within the bounds of bits, of few shingles too."""
+    rng = np.random.default_rng(22)
+    for common, a, b, need in ((4, 0, 1, 1), (12, 0, 3, 1), (8, 1, 1, 1), (20, 0, 5, 2), (80, 10, 10, 2), (800, 100, 100, 2)):
+        for _ in range(400):
+            x = rng.integers(0, 1 << 64, common + a + b, np.uint64)
+            p, q = (np.frombuffer(near_copies.fingerprint(np.unique(s)), np.uint8).reshape(2, -1) for s in (x[: common + a], np.concatenate([x[:common], x[common + a :]])))
+            shared, bits = (p == q).sum(axis=1), np.bitwise_count(p ^ q).sum(axis=1)
+            few = need == 1
+            assert ((shared >= need) & (bits <= near_copies.MAX_BITS[1][few])).any() and bits.sum() <= near_copies.MAX_BITS[2][few]
