@@ -178,6 +178,7 @@ def backfilled(stubs: DataFrame, captured: DataFrame, payload: str = "payload",
     """
     filled = {"item_id": "sku", "name": "name", "price": "price", "rating": "rating", "reviews_count": "reviews_count"}
     found = pages(widget_states(captured, payload, key), key, reviews=reviews).withColumnsRenamed({c: f"_{c}" for c in filled.values()})
-    joined = stubs.join(found, key, "left")
+    # Spark takes a page's facts for no larger than the table they were made of, and would send them whole to the driver.
+    joined = stubs.join(found.hint("merge"), key, "left")
     blank = lambda c: _empty(F.col(c)) if c in ("item_id", "name") else F.col(c)
     return joined.select(*[F.coalesce(blank(c), F.col(f"_{filled[c]}")).alias(c) if c in filled else F.col(c) for c in stubs.columns], "images", "characteristics", "reviews")

@@ -131,3 +131,12 @@ def test_pairs_are_made_once_for_all_keys(spark):
     found = rows.select(jsonld.first_wins(F.filter("pairs", lambda p: p["value"] != "")).alias("m"))
     assert found.first().m == {"a": "x0", "b": "y0"}
     assert found._jdf.queryExecution().analyzed().toString().count("filter(pairs#") == 1
+
+
+def test_pages_are_not_sent_whole_to_their_stubs(spark):
+    """What pages say is many times what Spark takes it for, so that a broadcast of it fails the driver."""
+    captured = spark.range(3).select("id", F.concat(F.lit('{"widgetStates": {"webProductHeading-1": "{\\"title\\": \\"page '), F.col("id").cast("string"), F.lit('\\"}"}}')).alias("payload"))
+    stubs = spark.range(1, 5).selectExpr("id", "'' AS item_id", "if(id = 2, 'own', null) AS name", "CAST(null AS DECIMAL(12,2)) AS price", "CAST(null AS DOUBLE) AS rating", "CAST(null AS INT) AS reviews_count")
+    found = widgets.backfilled(stubs, captured, key="id")
+    assert sorted((r.id, r.name) for r in found.collect()) == [(1, "page 1"), (2, "own"), (3, None), (4, None)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
