@@ -59,3 +59,33 @@ def test_empty_tables_write_no_workbook(spark, tmp_path):
     chosen, every = tables(spark)
     workbooks.write_workbooks(chosen.limit(0), every.limit(0), str(tmp_path))
     assert list(tmp_path.glob("*.xlsx")) == []
+
+
+def test_batches_are_written_and_read_without_a_step_for_each_cell(tmp_path, monkeypatch):
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    import pyarrow as pa
+
+    odd = ["a & <b> &amp; ]]>", "=1+1", "\x01=2\x0b", "", None, " </row><c> ", "два\nryad\r\n\U0001f600￾", "x=1"]
+    rows = [{"query_id": q, "sheet": 1, "number": n, "source_label": "WB", "seller": t, "name": t, "price": p, "url": None, "quantity": 1} for q in ("a", None) for n, (t, p) in enumerate(zip(odd, [1e16, 0.1, None, 5.0, -2.5, 1e-7, 123456789.12, 0.0]), 1)]
+    schema = pa.schema([("query_id", pa.string()), ("sheet", pa.int32()), ("number", pa.int64()), ("source_label", pa.string()), ("seller", pa.string()), ("name", pa.string()), ("price", pa.float64()), ("url", pa.string()), ("quantity", pa.int32())])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    writer = workbooks.WorkbookWriter(str(tmp_path))
+    writer.commit([writer.write(iter([batch.slice(0, 5), batch.slice(5)]))])
+    books = sorted(tmp_path.glob("*.xlsx"))
+    assert len(books) == 2
+    monkeypatch.setattr(workbooks, "BLOCK", 7)
+    for book in books:
+        sheet = zipfile.ZipFile(book).read("xl/worksheets/sheet1.xml")
+        tree = ET.fromstring(sheet)
+        wanted = [(r, p, "".join(c.itertext())) for r, row in enumerate(tree.iter(f"{{{workbooks._MAIN}}}row"), 1) for p, c in enumerate(row, 1) if len(c)]
+        found, before = [], 0
+        with zipfile.ZipFile(book).open("xl/worksheets/sheet1.xml") as f:
+            for block in workbooks._blocks(f):
+                found += [(c["row"], c["place"], c["value"]) for c in workbooks._read(block, before).to_pylist()]
+                before += block.count(b"</row>")
+        assert found == wanted and before == 9
+        prices = [float(v) for r, p, v in found if p == 5 and r > 1]
+        assert prices == [1e16, 0.1, 5.0, -2.5, 1e-7, 123456789.12, 0.0]
+        assert [v for r, p, v in found if p == 3 and r > 1] == ["a & <b> &amp; ]]>", "​=1+1", "=2", "", " </row><c> ", "два\nryad\n\U0001f600", "x=1"]
