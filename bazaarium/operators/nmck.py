@@ -79,10 +79,18 @@ def chosen_sheet(offers: DataFrame, quantity: int = 1) -> DataFrame:
     return few.select("query_id", "number", pricing.source_label(F.col("source")).alias("source_label"), "seller", "name", "price", "url").join(stats, "query_id")
 
 
+#: The order of all offers of a justification.
+WHOLE_ORDER = ("source_label", "price", "pos")
+
+
+def labelled(offers: DataFrame) -> DataFrame:
+    """All offers of a justification in no order yet, for a sink that brings them into ``WHOLE_ORDER``."""
+    return offers.select("query_id", pricing.source_label(F.col("source")).alias("source_label"), "seller", "name", "price", "url", "pos")
+
+
 def whole_sheet(offers: DataFrame) -> DataFrame:
     """All offers of a justification by source and price."""
-    labelled = offers.select("query_id", pricing.source_label(F.col("source")).alias("source_label"), "seller", "name", "price", "url", "pos")
-    every = placed(labelled, ["query_id"], [F.asc("source_label"), F.asc("price"), F.asc("pos")], "number")
+    every = placed(labelled(offers), ["query_id"], [F.asc(c) for c in WHOLE_ORDER], "number")
     return every.select("query_id", "number", "source_label", "seller", "name", "price", "url")
 
 

@@ -142,8 +142,8 @@ class WorkbookWriter(DataSourceArrowWriter):
         return pafs.FileSystem.from_uri(self.path) if ":" in self.path else (pafs.LocalFileSystem(), self.path)
 
     def write(self, iterator: Iterator) -> Moves:
-        """Rows by query, sheet and number; those of sheet 0 are the chosen offers."""
-        (fs, root), files, book, sink, at = self._fs(), [], None, None, None
+        """Rows by query, sheet and number, or as they come where they have none; those of sheet 0 are the chosen offers."""
+        (fs, root), files, book, sink, at, listed = self._fs(), [], None, None, None, 0
         folder = f"{root}/_temporary/{uuid.uuid4().hex}"
 
         def formulas() -> None:
@@ -168,7 +168,7 @@ class WorkbookWriter(DataSourceArrowWriter):
                 fs.create_dir(folder, recursive=True)
                 files.append((f"{folder}/{name}", f"{root}/{name}"))
                 sink = fs.open_output_stream(files[-1][0])
-                book, at = Workbook(sink, query or ""), (query, None)
+                book, at, listed = Workbook(sink, query or ""), (query, None), 0
             if sheet != at[1]:
                 if at[1] == 0:
                     formulas()
@@ -178,6 +178,8 @@ class WorkbookWriter(DataSourceArrowWriter):
                 for r in run.to_pylist():
                     book.add(r["number"], r["seller"], r["price"], r["quantity"], (f"=C{book.row + 1}*D{book.row + 1}",), r["name"])
                 continue
+            numbers = pc.coalesce(run.column("number"), pa.array(np.arange(listed + 1, listed + len(run) + 1)))
+            run, listed = run.set_column(run.schema.get_field_index("number"), "number", numbers), listed + len(run)
             while len(run):
                 if book.row >= SHEET_ROWS:
                     book.sheet(f"{EVERY} {len(book.names)}", EVERY_HEAD)
@@ -214,21 +216,23 @@ class WorkbookSink(DataSource):
         return WorkbookWriter(self.options["path"])
 
 
-def write_workbooks(chosen: DataFrame, every: DataFrame, path: str, quantity: int = 1) -> None:
+def write_workbooks(chosen: DataFrame, every: DataFrame, path: str, quantity: int = 1, order: tuple[str, ...] = ()) -> None:
     """A workbook for each query: the chosen offers with formulas for their mean, deviation, variation and total, then all offers.
 
-    ``chosen`` and ``every`` are what ``nmck.sheets`` returns.  Queries without chosen offers have the second sheet alone.
+    ``chosen`` and ``every`` are what ``nmck.sheets`` returns.  With ``order``, ``every`` needs no numbers: a task sorts the
+    offers of its queries anyway and numbers them as it writes.  Queries without chosen offers have the second sheet alone.
     """
     spark = chosen.sparkSession
     spark.dataSource.register(WorkbookSink)
     names = [f.split()[0] for f in ROWS.split(", ")]
+    by = [f"_by_{c}" for c in order]
 
     def rows(df: DataFrame, sheet: int) -> DataFrame:
-        own = df.withColumns({"sheet": F.lit(sheet), "quantity": F.lit(quantity), "price": F.col("price").cast("double"), "number": F.col("number").cast("long")})
-        return own.select(*names)
+        own = df.withColumns({"sheet": F.lit(sheet), "quantity": F.lit(quantity), "number": (F.lit(None) if sheet and order else F.col("number")).cast("long")})
+        return own.select(*[F.col(c).cast("double").alias(c) if c == "price" else F.col(c) for c in names], *[(F.col(c) if sheet else F.lit(None).cast(every.schema[c].dataType)).alias(b) for c, b in zip(order, by, strict=True)])
 
-    both = rows(chosen, 0).unionByName(rows(every, 1)).repartition("query_id").sortWithinPartitions("query_id", "sheet", "number")
-    both.write.format("workbooks").option("path", path).mode("append").save()
+    both = rows(chosen, 0).unionByName(rows(every, 1)).repartition("query_id").sortWithinPartitions("query_id", "sheet", "number", *by)
+    both.select(*names).write.format("workbooks").option("path", path).mode("append").save()
 
 
 CELLS = "file string, sheet string, row int, place int, value string, formula string"

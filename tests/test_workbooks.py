@@ -89,3 +89,12 @@ def test_batches_are_written_and_read_without_a_step_for_each_cell(tmp_path, mon
         prices = [float(v) for r, p, v in found if p == 5 and r > 1]
         assert prices == [1e16, 0.1, 5.0, -2.5, 1e-7, 123456789.12, 0.0]
         assert [v for r, p, v in found if p == 3 and r > 1] == ["a & <b> &amp; ]]>", "​=1+1", "=2", "", " </row><c> ", "два\nryad\n\U0001f600", "x=1"]
+
+
+def test_offers_without_numbers_are_numbered_in_their_order(spark, tmp_path):
+    chosen, every = tables(spark)
+    back = every.where("query_id = 'a & b'").withColumn("name", F.concat(F.lit("n"), F.col("number").cast("string"))).withColumn("pos", -F.col("number"))
+    workbooks.write_workbooks(chosen, back.drop("number"), str(tmp_path), order=("price", "pos"))
+    got = held(spark, str(tmp_path))
+    assert [(got[k], got[k[0], k[1], k[2], 4]) for k in sorted(got) if k[1] == workbooks.EVERY and k[3] == 1 and k[2] > 1] == [(str(n), f"n{8 - n}") for n in range(1, 8)]
+    assert [got[k] for k in sorted(got) if k[1] == workbooks.SUMMARY and k[3] == 2 and 2 < k[2] < 6] == ["s1", "s2", "s3"]
